@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,17 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+class Shipped:
+    """A bounded object, broadcast once with its class by value, since workers need
+    not have this package."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.handle = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self) -> object:
+        return pickle.loads(self.handle.value)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII takes the JVM's fast path."""
     upper, lower = (bytes(range(x, x + 26)).decode() for x in (65, 97))
