@@ -1,7 +1,10 @@
-"""Byte-level BPE ids of whole texts, each distinct word encoded once a task."""
+"""Byte-level BPE ids of whole texts."""
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,53 +16,50 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Characters whose class (letter, number, white space, other) is the same in all
+#: versions of Unicode that the two libraries may carry: ASCII and Latin.
+_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
+
+
 class ByteBpe:
-    """ids as tokenizers gives them, without special tokens.
+    """ids as the vocabulary's library gives them, without special tokens.
 
-    The vocabulary's own pattern starts a new pre-token at each single space
-    between two characters that are no white space, so the pieces of a text cut
-    there are encoded independently, and a bounded table of them is kept.
+    The same vocabulary lies beside it as ranks (``.tiktoken``), which the other
+    public library encodes five times as fast and with the same ids. It serves
+    the texts of ASCII and Latin characters, about which the two can't differ;
+    all other texts, or all of them where there are no ranks, go to the first.
     """
 
-    MOST = 400_000
-
     def __init__(self, path: str) -> None:
+        # Spark runs a worker per core; the library's own threads only contend.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        whole = bool(parts[0]) and not parts[0][-1].isspace()
-        for x in parts[1:]:
-            if x and not x[0].isspace() and whole:
-                out.append(" " + x)
-            else:
-                out[-1] += " " + x
-            whole = bool(x) and not x[-1].isspace()
-        return out
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        self.fast = None
+        if os.path.exists(ranks):
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def one(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, dtype="<u4")
+        if self.fast is not None and not _PLAIN.search(text):
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; null is the empty text."""
-        pieces = [self.cut(t) if t else [] for t in texts]
-        new = {p for ps in pieces for p in ps}.difference(self.known)
-        if len(self.known) + len(new) > self.MOST:
-            self.known.clear()
-            new = {p for ps in pieces for p in ps}
-        order = list(new)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in ps]), dtype="<u4") for ps in pieces]
-
-
-def in_groups(texts: list[str | None], most: int = 1 << 22) -> Iterable[tuple[int, int]]:
+        return [self.one(t) for t in texts]
+
+
+def in_groups(texts: list[str | None], most: int = 1 << 21) -> Iterable[tuple[int, int]]:
     """Ranges of texts with about ``most`` characters, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):
