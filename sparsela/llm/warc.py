@@ -101,7 +101,10 @@ class ArchiveWriter:
 
 def _archives(archive_bytes: int, date: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ArchiveWriter()
+        def fresh() -> ArchiveWriter:
+            return ArchiveWriter(sample_bytes=min(1 << 20, archive_bytes))
+
+        writer = fresh()
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x] if (x := writer.finish()) else [], pa.binary())], ["content"])
@@ -112,7 +115,7 @@ def _archives(archive_bytes: int, date: str) -> Callable:
                 writer.add(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers, date))
                 if writer.size >= archive_bytes:
                     yield done()
-                    writer = ArchiveWriter()
+                    writer = fresh()
         yield done()
 
     return run
