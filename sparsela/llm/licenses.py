@@ -48,7 +48,6 @@ SENTENCES = {
     "CcByWork": "this work is licensed under a creative commons attribution 4.0 international license",
     "CcZero": "licensed under cc0 1.0",
     "Unlicense": "this is free and unencumbered software released into the public domain",
-    "AllRights": "all rights reserved",
 }
 
 # Licence rules in order. A rule is a sequence of sentence
@@ -81,7 +80,7 @@ RULES = (
 )
 
 #: Every known sentence has one of these; a text with none has no known sentence.
-ANCHORS = ("licens", "permission", "redistribut", "warrant", "copyright", "public domain", "reserved", "software")
+ANCHORS = ("licens", "permission", "redistribut", "warrant", "copyright", "public domain", "software")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
