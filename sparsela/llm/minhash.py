@@ -183,8 +183,9 @@ def near_duplicates(
     text_col: str = "text",
     shingle_words: int = 5,
     percent: int = 80,
-    bands: int = 32,
-    rows: int = 4,
+    bands: int = 30,
+    rows: int = 5,
+    first_bands: int = 8,
     block: int = 1024,
     pivots: int = 64,
     rounds: int = 2,
@@ -200,15 +201,16 @@ def near_duplicates(
        universal hash minima folded into band keys, and a one-byte sketch of each
        minimum. The table is written to shared storage.
     2. Documents with equal sets collapse to their smallest id.
-    3. Bands with two or more representatives are buckets. Buckets with the same
-       members are one. A bucket larger than ``block`` is split by hash into
+    3. Band keys with two different sets or more are buckets. Buckets with the
+       same members are one. A bucket larger than ``block`` is split by hash into
        blocks which all see the same ``pivots`` members, anew for each band.
     4. In a block, a maximum spanning tree over sketch similarities proposes
-       pairs, a few for each member instead of all pairs. With 128 minima and
-       32 bands, a pair at the limit misses all buckets in one case of 20 million.
+       pairs, a few for each member instead of all pairs. With 150 minima in 30
+       bands, a pair at the limit misses all buckets in one case of 150,000.
     5. Proposed pairs are confirmed on the full sets of their whole texts.
-    6. Components by large-star and small-star. Then buckets whose members are
-       still in different components propose again (``rounds`` in all).
+    6. Components by large-star and small-star. The first round takes the buckets
+       of the first bands; in the next ones those of all bands propose again
+       whose members are still in different components (``rounds`` in all).
 
     Null or empty text and text of white space alone has the empty set, and is
     linked with nothing. A row with a null id is its own component (null) and is
@@ -218,36 +220,46 @@ def near_duplicates(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = staged(texts.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash")
-    classes = staged(
-        sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "minhash-classes"
-    )
-    heads = (
-        sketch.select("doc_id", "set_key", "bands", "sketch")
-        .join(classes.withColumnRenamed("class_id", "doc_id"), ["set_key", "doc_id"], "left_semi")
+    known = sketch.filter("set_key is not null and doc_id is not null")
+    digest = F.xxhash64("set_key")
+    classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("print", digest), "minhash-classes")
+    # All bands of all documents pass two shuffles, as three numbers a row; keys
+    # and sketches join those that share a bucket.
+    buckets = staged(
+        known.select(digest.alias("print"), F.explode("bands").alias("bucket"))
+        .groupBy("bucket").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo < hi").select("bucket"),
+        "minhash-buckets",
     )
-    spread = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = (
-        spread.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("print"))
-        .filter("n > 1")
-        .groupBy("n", "least", "print").agg(F.min("bucket").alias("bucket"))
+    with settings(spark, PRUNE_TEXTS):
+        found = staged(
+            known.select(digest.alias("print"), F.posexplode("bands").alias("band", "bucket"))
+            .join(buckets, "bucket")
+            .groupBy("bucket", "print").agg(F.min("band").alias("band"))
+            .join(classes.select("print", F.col("class_id").alias("doc_id")), "print")
+            .select("bucket", "band", "doc_id"),
+            "minhash-found",
+        )
+    distinct = (
+        found.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.min("band").alias("band")
+        )
+        .groupBy("n", "least", "print").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket"))
         .select("bucket", "n")
     )
-    buckets = staged(buckets, "minhash-buckets")
+    placed = staged(found.join(distinct, "bucket"), "minhash-placed")
+    heads = classes.select("set_key", F.col("class_id").alias("doc_id"))
     with settings(spark, PRUNE_TEXTS):
+        wanted = placed.filter("n > 1").select("doc_id")
+        sketches = known.select("doc_id", "set_key", "sketch").join(wanted, "doc_id", "left_semi").join(heads, ["doc_id", "set_key"], "left_semi")
         members = staged(
-            heads.select("doc_id", "sketch", F.explode("bands").alias("bucket"))
-            .join(buckets.filter("n > 1"), "bucket")
-            .select("bucket", "doc_id", "sketch", "n"),
-            "minhash-members",
-        )
+            placed.join(sketches.groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "doc_id").select("bucket", "band", "doc_id", "sketch", "n"), "minhash-members"
+        )
 
-    cut = percent / 100 - 0.15
     edges: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
     for turn in range(rounds):
-        at = members
+        at = members.filter(F.col("band") < first_bands) if turn == 0 and rounds > 1 else members
         if roots is not None:
             at = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
             open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
@@ -266,7 +278,7 @@ def near_duplicates(
         )
         proposed = (
             blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-            .mapInArrow(_pairs_of_blocks(cut, percent / 100 + 0.12, 3 if turn == 0 else 8), "a long, b long").distinct()
+            .mapInArrow(_pairs_of_blocks(percent / 100 - 0.11, percent / 100 + 0.12, 3), "a long, b long").distinct()
         )
         if tried is not None:
             proposed = proposed.join(tried, ["a", "b"], "left_anti")
