@@ -193,7 +193,8 @@ def best_fit_pack(
     slots.sort()
     keys, sequences, offsets = (np.array([s[j] for s in slots], dtype=np.int64) for j in range(3))
     rest = ["doc_id", "piece", "start", "ids_crc32", *(["ids"] if with_ids else [])]
-    ranked = pieces.join(base, ["part", "length"]).select("length", (F.col("base") + F.col("nth")).alias("rank"), *rest)
+    # merged, whatever its size: the prefix sums grow with the tasks
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select("length", (F.col("base") + F.col("nth")).alias("rank"), *rest)
     placed = ranked.mapInArrow(
         _placer(keys, sequences, offsets),
         "doc_id long, piece int, start long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "length long, sequence_id long, offset long",
