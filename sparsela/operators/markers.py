@@ -207,7 +207,7 @@ def regression_test(m: Matrix, groups: DataFrame, survivors: DataFrame, test: st
     group = (cells["grp"] == 1).to_numpy(dtype=float)
     covariates = cells[list(latent)].to_numpy(dtype=float).reshape(len(cells), -1)
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         value = np.zeros(len(order))
         rows = rows[rows["cell"].notna()]
         value[[order[c] for c in rows["cell"]]] = rows["value"]
@@ -339,7 +339,7 @@ def pseudobulk_test(groups: DataFrame, conditions: dict[str, str], first: str) -
     offset = np.log([factors.get(s, 1.0) for s in samples])
     group = np.array([conditions[s] == first for s in samples], dtype=float)
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = dict(zip(rows["group"], rows["value"], strict=True))
         y = np.array([found.get(s, 0.0) for s in samples])
         x = np.stack([np.ones(len(y)), group], axis=1)
