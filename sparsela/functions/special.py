@@ -9,17 +9,19 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def each(f, x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    return np.array([f(v) for v in x.ravel().tolist()], dtype=float).reshape(x.shape)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    return _lgamma(np.asarray(x, dtype=float))
+    return each(math.lgamma, x)
 
 
 def normal_two_sided(z: np.ndarray) -> np.ndarray:
     """P(|Z| > |z|)."""
-    return _erfc(np.abs(np.asarray(z, dtype=float)) / math.sqrt(2))
+    return each(math.erfc, np.abs(np.asarray(z, dtype=float)) / math.sqrt(2))
 
 
 def digamma(x: np.ndarray) -> np.ndarray:

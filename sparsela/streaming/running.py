@@ -28,12 +28,23 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def run(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all that is there now and returns its result table."""
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run(df: DataFrame, mode: str = "complete", own_state: bool = False) -> DataFrame:
+    """Runs the stream over all that is there now and returns its result table.
+    Streams with a stateful processor (own_state) need the RocksDB store."""
     spark = df.sparkSession
+    before = spark.conf.get(PROVIDER)
+    if own_state:
+        spark.conf.set(PROVIDER, ROCKSDB)
     name = "stream_" + uuid.uuid4().hex
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.table(name)
 
 
@@ -97,5 +108,6 @@ class Welford(StatefulProcessor):
 
 
 def running_variance(records: DataFrame) -> DataFrame:
-    """(feature, n, mean, variance) by a stateful processor, a row per feature and batch."""
+    """(feature, n, mean, variance) by a stateful processor, a row per feature and
+    batch; run it with mode update and own_state."""
     return records.groupBy("feature").transformWithStateInPandas(Welford(), "feature string, n long, mean double, variance double", "Update", "None")
