@@ -365,3 +365,17 @@ def score_jack_straw(p_values: DataFrame, threshold: float = 1e-5) -> DataFrame:
     statistic = F.pow((delta - correction * 2 / n) / F.sqrt(pooled * (1 - pooled) * 2 / n), 2)
     rows = rows.withColumn("score", F.when((a > 0) & (pooled < 1), statistic).otherwise(0.0))
     return rows.select("dim", "n_hits", "score", F.when(a == 0, 1.0).otherwise(chi2_p("score", F.lit(1.0))).alias("p"))
+
+
+def top_dim_features(loadings: DataFrame, per_dim: int = 100, most: int = 200) -> list[str]:
+    """Features with the most extreme loadings: the largest y of at most per_dim for
+    which the round(y/2) highest and lowest of every dimension are fewer than most."""
+    half = max(1, round(per_dim / 2))
+    rows = top_loadings(loadings, half).select("feature", F.abs("rank").alias("r")).collect()
+    best: list[str] = []
+    for y in range(1, per_dim + 1):
+        chosen = sorted({r["feature"] for r in rows if r["r"] <= max(1, round(y / 2))})
+        if len(chosen) >= most:
+            break
+        best = chosen
+    return best

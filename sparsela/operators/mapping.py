@@ -31,10 +31,14 @@ def find_anchors(a: DataFrame, b: DataFrame, k_anchor: int = 5, k_score: int = 3
     of two datasets in one space. One search of max(k_anchor, k_score) serves both
     pairing and scoring."""
     k = max(k_anchor, k_score)
-    ab, ba = knn(b, k, query=a), knn(a, k, query=b)
-    aa = knn(a, k_score + 1).filter("rank > 1").select("cell", "nbr")
-    bb = knn(b, k_score + 1).filter("rank > 1").select("cell", "nbr")
+    return anchors_from(knn(b, k, query=a), knn(a, k, query=b), knn(a, k_score + 1), knn(b, k_score + 1), k_anchor, k_score)
+
+
+def anchors_from(ab: DataFrame, ba: DataFrame, aa: DataFrame, bb: DataFrame, k_anchor: int, k_score: int) -> DataFrame:
+    """find_anchors on neighbour tables: across (ab, ba) and within (aa, bb, with the
+    cells themselves first). Scores count the neighbours two cells share."""
     pairs = mutual_neighbors(ab.filter(F.col("rank") <= k_anchor), ba.filter(F.col("rank") <= k_anchor))
+    aa, bb = (x.filter("rank > 1").select("cell", "nbr") for x in (aa, bb))
     around1 = aa.unionByName(ab.filter(F.col("rank") <= k_score).select("cell", "nbr")).select(F.col("cell").alias("cell1"), "nbr")
     around2 = bb.unionByName(ba.filter(F.col("rank") <= k_score).select("cell", "nbr")).select(F.col("cell").alias("cell2"), "nbr")
     raw = pairs.join(around1, "cell1").join(around2, ["cell2", "nbr"]).groupBy("cell1", "cell2").agg(F.count(F.lit(1)).alias("raw"))
@@ -57,24 +61,22 @@ def filter_anchors(anchors: DataFrame, a: DataFrame, b: DataFrame, k_filter: int
 
 
 def anchor_weights(anchors: DataFrame, query: DataFrame, k_weight: int = 100, sd_weight: float = 1.0) -> DataFrame:
-    """(cell, anchor, cell1, weight): for every query cell its nearest distinct anchor
-    cells, walked outwards and expanded into their anchors until k_weight anchors;
-    weights sum to 1. anchors: (cell1, cell2, score), cell2 the query's; query:
-    (cell, ord, vec)."""
-    numbered = anchors.withColumn("anchor", F.row_number().over(Window.orderBy("cell1", "cell2")) - 1)
-    n = numbered.count()
-    k = min(k_weight, n)
+    """(cell, cell1, cell2, weight): for every query cell its nearest distinct anchor
+    cells, walked outwards and expanded into their anchors (by name) until k_weight
+    anchors; weights sum to 1. anchors: (cell1, cell2, score), cell2 the query's;
+    query: (cell, ord, vec)."""
+    k = min(k_weight, anchors.count())
     cells = query.join(anchors.select(F.col("cell2").alias("cell")).distinct(), "cell", "left_semi")
     if cells.count() < k:
         raise ValueError(f"fewer anchor cells than k_weight ({k}): lower k_weight")
     near = knn(cells, k, query=query)
     far = Window.partitionBy("cell")
     near = near.withColumn("_far", F.max("dist").over(far))
-    rows = near.join(numbered.withColumnRenamed("cell2", "nbr"), "nbr")
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy("rank", "anchor"))
+    rows = near.join(anchors.select("cell1", F.col("cell2").alias("nbr"), "score"), "nbr")
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("rank", "cell1"))
     rows = rows.withColumn("_k", nth).filter(F.col("_k") <= k).withColumn("_w", anchor_kernel(F.col("dist"), F.col("_far"), F.col("score"), sd_weight))
     total = F.sum("_w").over(Window.partitionBy("cell"))
-    return rows.select("cell", "anchor", "cell1", F.col("nbr").alias("cell2"), (F.col("_w") / F.when(total == 0, 1.0).otherwise(total)).alias("weight"))
+    return rows.select("cell", "cell1", F.col("nbr").alias("cell2"), (F.col("_w") / F.when(total == 0, 1.0).otherwise(total)).alias("weight"))
 
 
 def integrate_embeddings(anchors: DataFrame, reference: DataFrame, query: DataFrame, k_weight: int = 100, sd_weight: float = 1.0) -> DataFrame:

@@ -206,3 +206,30 @@ def strip_prefix(m: Matrix, prefix: str) -> Matrix:
 def dense_to_triplets(wide: DataFrame, id_column: str, names: Sequence[str], variable: str = "feature", value: str = "value") -> DataFrame:
     """Wide table to long without zeros."""
     return wide.unpivot([id_column], list(names), variable, value).filter(F.col(value) != 0)
+
+
+def to_dense(m: Matrix) -> DataFrame:
+    """(feature, vec): rows with zeros filled, in the cells' order. Rows are as long
+    as there are cells."""
+    order = m.cells.select("cell", "ord")
+    grid = m.features.select("feature").join(order).join(m.expr, ["feature", "cell"], "left").fillna(0.0, ["value"])
+    rows = grid.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("_v"))
+    return rows.select("feature", F.col("_v.value").alias("vec"))
+
+
+def from_dense(dense: DataFrame, cells: DataFrame) -> DataFrame:
+    """(feature, cell, value): the reverse of to_dense, without zeros."""
+    places = cells.select("cell", (F.row_number().over(Window.orderBy("ord")) - 1).alias("i"))
+    return dense.select("feature", F.posexplode("vec").alias("i", "value")).filter("value <> 0").join(places, "i").select("feature", "cell", "value")
+
+
+def set_variable_features(features: DataFrame, ranked: DataFrame) -> DataFrame:
+    """features with hvg_rank and highly_variable from (feature, rank)."""
+    rest = features.drop("hvg_rank", "highly_variable")
+    return rest.join(ranked.select("feature", F.col("rank").alias("hvg_rank")), "feature", "left").withColumn("highly_variable", F.col("hvg_rank").isNotNull())
+
+
+def variable_features(features: DataFrame) -> list[str]:
+    """The variable features by rank; by their order where only the flag is there."""
+    order = "hvg_rank" if "hvg_rank" in features.columns else "ord"
+    return [r[0] for r in features.filter("highly_variable").orderBy(order).select("feature").collect()]

@@ -434,11 +434,11 @@ def find_anchors(s, d):
     return mp.find_anchors(a, b, 5, 15)
 
 
-_WEIGHTS = _ANCHORS + """, num AS (SELECT *, row_number() OVER (ORDER BY c1, c2) - 1 AS anchor FROM anchors), u AS (SELECT DISTINCT c2 FROM anchors),
+_WEIGHTS = _ANCHORS + """, u AS (SELECT DISTINCT c2 FROM anchors),
     z AS (SELECT q.cell, t.cell AS nbr, list_distance(q.vec, t.vec) AS dist, row_number() OVER (PARTITION BY q.cell ORDER BY round(list_distance(q.vec, t.vec), 12), t.ord) AS r FROM emb q CROSS JOIN emb t WHERE q.ord % 2 = 1 AND t.cell IN (SELECT c2 FROM u)),
     z1 AS (SELECT *, max(dist) OVER (PARTITION BY cell) AS far FROM z WHERE r <= 20),
-    z2 AS (SELECT cell, anchor, c1, nbr AS c2, 1 - exp(-(1 - dist / far) * score / 4) AS w FROM (SELECT z1.*, num.anchor, num.c1, num.score, row_number() OVER (PARTITION BY cell ORDER BY r, anchor) AS k FROM z1 JOIN num ON num.c2 = z1.nbr) WHERE k <= 20),
-    weights AS (SELECT cell, anchor, c1, c2, w / CASE WHEN sum(w) OVER (PARTITION BY cell) = 0 THEN 1 ELSE sum(w) OVER (PARTITION BY cell) END AS weight FROM z2)"""
+    z2 AS (SELECT cell, c1, nbr AS c2, 1 - exp(-(1 - dist / far) * score / 4) AS w FROM (SELECT z1.*, a.c1, a.score, row_number() OVER (PARTITION BY cell ORDER BY r, c1) AS k FROM z1 JOIN anchors a ON a.c2 = z1.nbr) WHERE k <= 20),
+    weights AS (SELECT cell, c1, c2, w / CASE WHEN sum(w) OVER (PARTITION BY cell) = 0 THEN 1 ELSE sum(w) OVER (PARTITION BY cell) END AS weight FROM z2)"""
 
 
 def _anchor_parts(s, d):
@@ -447,7 +447,7 @@ def _anchor_parts(s, d):
     return a, b, anchors, mp.anchor_weights(anchors, b, 20)
 
 
-@query(_WEIGHTS + " SELECT cell, anchor, c1 AS cell1, c2 AS cell2, round(weight, 6) AS weight FROM weights", "emb")
+@query(_WEIGHTS + " SELECT cell, c1 AS cell1, c2 AS cell2, round(weight, 6) AS weight FROM weights", "emb")
 def anchor_weights(s, d):
     return _anchor_parts(s, d)[3]
 
