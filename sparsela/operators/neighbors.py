@@ -59,7 +59,8 @@ def knn(points: DataFrame, k: int, query: DataFrame | None = None, exclude_self:
 
     text = [F.col("cell").cast("string").alias("cell"), F.col("ord").cast("long").alias("ord"), F.col("vec").cast("array<double>").alias("vec")]
     left, right = _packed(queries.select(*text), block, "q"), _packed(points.select(*text), block, "t")
-    pairs = left.drop("q_no").repartition(max(1, min(200, 8))).crossJoin(right.drop("t_no"))
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.drop("q_no").repartition(spread).crossJoin(right.drop("t_no"))
     near = pairs.mapInArrow(best, "cell string, nbr string, ord long, dist double")
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.round("dist", 12), "ord"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("cell", "rank", "nbr", "dist")
