@@ -16,6 +16,10 @@ from .encoding import ByteBpe, default_vocabulary, in_groups
 END_OF_DOCUMENT = 50256
 
 
+#: The writer's format: two bytes an id, the higher first.
+IDS = ">u2"
+
+
 def _flat(vocabulary: str, end: int, file_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteBpe(vocabulary)
@@ -23,14 +27,11 @@ def _flat(vocabulary: str, end: int, file_tokens: int) -> Callable:
         size = 0
         mark = np.array([end], dtype="<u4")
 
-        def files(flush: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            while size >= file_tokens or (flush and size):
-                flat = np.concatenate(held)
-                part, rest = flat[:file_tokens], flat[file_tokens:]
-                held, size = [rest], len(rest)
-                # the top byte of the last id, always 0, is left to the sink
-                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()[:-1]], pa.binary())], ["content"])
+        def file() -> pa.RecordBatch:
+            # the last byte, of the last separator, is left to the sink
+            raw = np.concatenate(held).astype(IDS).tobytes()[:-1]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["content"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -38,29 +39,36 @@ def _flat(vocabulary: str, end: int, file_tokens: int) -> Callable:
                 for ids in encoder.encode(texts[lo:hi]):
                     held += [ids, mark]
                     size += len(ids) + 1
-                yield from files(False)
-        yield from files(True)
+                    if size >= file_tokens:
+                        yield file()
+                        size = 0
+        if held:
+            yield file()
 
     return run
 
 
 def write_token_files(
-    docs: DataFrame, path: str, text_col: str = "text", vocabulary: str | None = None, end: int = END_OF_DOCUMENT, file_tokens: int = 1 << 21
+    docs: DataFrame, path: str, text_col: str = "text", vocabulary: str | None = None, end: int = END_OF_DOCUMENT, file_tokens: int = 1 << 22
 ) -> None:
-    """Writes flat files of little-endian 32-bit ids, each document's followed by
-    ``end``. A task's documents run on from one of its files to the next.
-    Null text is empty: its separator alone is written. file_tokens bounds a file."""
-    write_blobs(docs.select(text_col).mapInArrow(_flat(vocabulary or default_vocabulary(), end, file_tokens), "content binary"), "content", "\0", path)
+    """Writes flat files of 16-bit ids (the vocabulary's all fit), each document's
+    followed by ``end``; a file is closed behind the document with which it reaches
+    file_tokens. Null text is empty: its separator alone is written. The low byte
+    of ``end`` must be ASCII, as the sink adds it."""
+    if end >= 1 << 16 or end & 0xFF >= 0x80:
+        raise ValueError("end must fit 16 bits, its low byte 7")
+    flat = docs.select(text_col).mapInArrow(_flat(vocabulary or default_vocabulary(), end, file_tokens), "content binary")
+    write_blobs(flat, "content", chr(end & 0xFF), path)
 
 
-def _scan_blocks(end: int, block_tokens: int) -> Callable:
+def _scan_blocks(end: int, block_tokens: int, dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["stream", "file_no", "block_no", "n_tokens", "ends"]
         for batch in batches:
             for stream, number, content in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                if len(content) % 4:
-                    raise ValueError(f"file {number} of {stream} is not a whole number of 32-bit ids")
-                ids = np.frombuffer(content, dtype="<u4")
+                if len(content) % np.dtype(dtype).itemsize:
+                    raise ValueError(f"file {number} of {stream} is not a whole number of ids")
+                ids = np.frombuffer(content, dtype=dtype)
                 for k, at in enumerate(range(0, len(ids), block_tokens)):
                     part = ids[at : at + block_tokens]
                     ends = np.flatnonzero(part == end)
@@ -91,7 +99,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, block_tokens: int = 1 << 18) -> DataFrame:
+def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, block_tokens: int = 1 << 18, dtype: str = IDS) -> DataFrame:
     """One row per document of the flat token files under path: stream, doc_no
     (in the stream, from 0), start (tokens of the stream before it), n_tokens
     (its separator not counted), terminated (false for a last document without one).
@@ -103,13 +111,14 @@ def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, blo
     each block the tokens and separators before it and the tokens since the last
     separator; with these it places its documents by itself. Two separators in
     a row are an empty document. A file must fit into one row (2 GB); the writer
-    bounds its files far below. Empty files give no row.
+    bounds its files far below. dtype is NumPy's name of an id's format. Empty files
+    give no row.
     """
     name = F.element_at(F.split("path", "/"), -1)
     files = read_blobs(spark, path).select(
         F.regexp_extract(name, r"^(part-\d+)", 1).alias("stream"), F.regexp_extract(name, r"-c(\d+)", 1).cast("long").alias("file_no"), "content"
     )
-    blocks = staged(files.mapInArrow(_scan_blocks(end, block_tokens), "stream string, file_no long, block_no long, n_tokens long, ends array<long>"), "token-blocks")
+    blocks = staged(files.mapInArrow(_scan_blocks(end, block_tokens, dtype), "stream string, file_no long, block_no long, n_tokens long, ends array<long>"), "token-blocks")
     blocks = blocks.withColumn("n_ends", F.size("ends").cast("long")).withColumn(
         "tail", F.when(F.col("n_ends") > 0, F.col("n_tokens") - 1 - F.element_at("ends", -1)).otherwise(F.col("n_tokens"))
     )

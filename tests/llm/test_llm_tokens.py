@@ -62,13 +62,14 @@ def test_boundaries_are_stitched(spark, tmp_path, tokenizer, file_tokens, block)
     assert [r["doc_no"] for r in rows] == list(range(len(sizes)))
 
 
-def test_last_document_without_separator(spark, tmp_path):
-    ids = [5, 50256, 6, 7, 8]
-    raw = np.array(ids, dtype="<u4").tobytes()[:-1]
-    write_blobs(spark.createDataFrame([(bytearray(raw),)], "content binary"), "content", "\0", f"{tmp_path}/t")
-    for block in (1, 2, 3, 100):
-        rows = token_counts(spark, f"{tmp_path}/t", block_tokens=block).orderBy("doc_no").collect()
-        assert [(r["start"], r["n_tokens"], r["terminated"]) for r in rows] == [(0, 1, True), (2, 3, False)]
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_documents_cross_files_and_the_last_may_be_open(spark, tmp_path, block):
+    ids = [5, 50256, 6, 7, 8, 9, 10, 50256, 50256, 11, 12]
+    raw = [np.array(x, dtype="<u4").tobytes()[:-1] for x in (ids[:3], ids[3:4], ids[4:7], ids[7:9], ids[9:])]
+    files = spark.createDataFrame([(bytearray(x),) for x in raw], "content binary").coalesce(1)
+    write_blobs(files, "content", "\0", f"{tmp_path}/t")
+    rows = token_counts(spark, f"{tmp_path}/t", block_tokens=block, dtype="<u4").orderBy("doc_no").collect()
+    assert [(r["start"], r["n_tokens"], r["terminated"]) for r in rows] == [(0, 1, True), (2, 5, True), (8, 0, True), (9, 2, False)]
 
 
 def test_blobs_round_trip(spark, tmp_path):
