@@ -31,12 +31,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str) -> None:
-        # Spark runs a worker per core; the library's own threads only contend.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self._slow = path, None
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.fast = None
         if os.path.exists(ranks):
@@ -47,6 +42,18 @@ class ByteBpe:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def tokenizer(self):
+        """The vocabulary's own library, loaded for the first text that needs it."""
+        if self._slow is None:
+            # Spark runs a worker per core; the library's own threads only contend.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
     def one(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")

@@ -49,7 +49,7 @@ def _flat(vocabulary: str, end: int, file_tokens: int) -> Callable:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, text_col: str = "text", vocabulary: str | None = None, end: int = END_OF_DOCUMENT, file_tokens: int = 1 << 22
+    docs: DataFrame, path: str, text_col: str = "text", vocabulary: str | None = None, end: int = END_OF_DOCUMENT, file_tokens: int = 1 << 21
 ) -> None:
     """Writes flat files of 16-bit ids (the vocabulary's all fit), each document's
     followed by ``end``; a file is closed behind the document with which it reaches
@@ -105,7 +105,7 @@ def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, blo
     (its separator not counted), terminated (false for a last document without one).
 
     Files of one stream (the writer's task, ``part-NNNNN``) follow each other by
-    their number (``-cNNN``). Each file is searched in blocks, independently: a
+    their number (``-cNNN`` before the suffix). Each file is searched in blocks, independently: a
     block gives its length and the places of its separators. A prefix scan over
     the blocks' summaries, in two levels (the blocks of a stream, in order), gives
     each block the tokens and separators before it and the tokens since the last
@@ -116,7 +116,7 @@ def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, blo
     """
     name = F.element_at(F.split("path", "/"), -1)
     files = read_blobs(spark, path).select(
-        F.regexp_extract(name, r"^(part-\d+)", 1).alias("stream"), F.regexp_extract(name, r"-c(\d+)", 1).cast("long").alias("file_no"), "content"
+        F.regexp_extract(name, r"^(part-\d+)", 1).alias("stream"), F.regexp_extract(name, r"-c(\d+)\.[^-]*$", 1).cast("long").alias("file_no"), "content"
     )
     blocks = staged(files.mapInArrow(_scan_blocks(end, block_tokens, dtype), "stream string, file_no long, block_no long, n_tokens long, ends array<long>"), "token-blocks")
     blocks = blocks.withColumn("n_ends", F.size("ends").cast("long")).withColumn(
