@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparsela.llm.common import shared_path
 from sparsela.llm.exact_dedup import deduplicated
 from sparsela.llm.minhash import near_duplicates
 from sparsela.llm.packing import best_fit_pack
 from sparsela.llm.pii import redact
-from sparsela.llm.quality import quality_rules
+from sparsela.llm.quality import good_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return docs.join(quality_rules(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    return good_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
