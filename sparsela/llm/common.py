@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Lets Catalyst build its Bloom filter for joins of whole texts with a short
 #: list of ids, whatever the size of the scan, so that texts without a partner
 #: are dropped before the shuffle. Nothing is broadcast: one plan for all sizes.
+#: Pairs of texts come to Python in small batches.
 PRUNE_TEXTS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m",

@@ -167,7 +167,8 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
 def labelled_sample(docs: DataFrame, settings: Settings, text_col: str, label_col: str, key: Column) -> list[tuple[str, str]]:
     """At most sample_rows labelled rows, evenly over the languages, chosen by a
     hash of ``key``. Texts above sample_chars are not drawn. Only counts and the
-    sample come to the driver."""
+    sample come to the driver: about a tenth more rows than it are drawn, and the
+    first by the hash are taken."""
     rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.min_rows).orderBy(F.desc("n"), label_col).limit(settings.max_languages).collect()
     if not counts:
@@ -176,7 +177,7 @@ def labelled_sample(docs: DataFrame, settings: Settings, text_col: str, label_co
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 1.1 * each / r["n"]))])
     drawn = F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(1 << 40)) < F.element_at(share, F.col(label_col)) * (1 << 40)
     some = rows.filter(drawn & (F.char_length(text_col) <= settings.sample_chars)).select(text_col, label_col, F.xxhash64(key).alias("_order"))
-    return [(r[0], r[1]) for r in some.limit(settings.sample_rows).collect()]
+    return [(r[0], r[1]) for r in some.orderBy("_order", text_col).limit(settings.sample_rows).collect()]
 
 
 def _predict(handle: Shipped, with_model: bool) -> Callable:

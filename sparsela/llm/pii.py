@@ -37,9 +37,10 @@ _DIGIT = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 #: Three spelled digits or more in a row; single digits and separators between them.
 SPELLED = re.compile(rf"(?i)(?<![^\W_]){_DIGIT}(?:[ \-]+(?:{_DIGIT}|[0-9]+)){{2,}}(?![^\W_])")
 SPELLED_WORD = re.compile(rf"(?i){_DIGIT}|[ \-]+")
-AT_MARKED = re.compile(r"(?i)\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*")
-DOT_MARKED = re.compile(r"(?i)\s*[\(\[\{<]\s*(?:dot|punkt|point|punto|\.)\s*[\)\]\}>]\s*")
+#: Marked words; white space around the marks goes with them.
+MARKED = re.compile(r"(?i)[\(\[\{<]\s*+(?:(at|@)|dot|punkt|point|punto|\.)\s*+[\)\]\}>]")
 #: Bare words need the whole shape of an address.
+DOT_WORD = re.compile("(?i) dot ")
 BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*?( at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*((?: dot [A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
 
 
@@ -113,26 +114,49 @@ class Deobfuscator:
             if new != m[0]:
                 edits.append((m.start(), m.end(), new))
         text, edits = self.apply(text, edits, [])
-        low = text.lower() if len(text.lower()) == len(text) else text
-        for word, pattern, what in (("t", SPELLED, "digits"), ("at", AT_MARKED, "@"), ("@", AT_MARKED, "@"), ("dot", DOT_MARKED, "."), ("pun", DOT_MARKED, "."), ("point", DOT_MARKED, "."), (" at ", BARE, "bare")):
-            if word not in low and not (what == "digits" and "one" in low):
-                continue
-            new: list[tuple[int, int, str]] = []
-            for m in pattern.finditer(text):
-                if what == "digits":
-                    for w in SPELLED_WORD.finditer(text, m.start(), m.end()):
-                        new.append((w.start(), w.end(), DIGIT_WORDS.get(w[0].lower(), "")))
-                elif what == "bare":
-                    cuts = [(m.start(1), m.end(1), "@")]
-                    cuts += [(d.start(), d.end(), ".") for lo, hi in ((m.start(), m.start(1)), m.span(2)) for d in re.compile("(?i) dot ").finditer(text, lo, hi)]
-                    new += sorted(cuts)
-                else:
-                    new.append((m.start(), m.end(), what))
-            if new:
-                text, edits = self.apply(text, new, edits)
-                low = text.lower() if len(text.lower()) == len(text) else text
+        for step in (self.spelled, self.marked, self.bare):
+            text, edits = self.apply(text, step(text), edits)
         return text, edits
 
+    @staticmethod
+    def spelled(text: str) -> list[tuple[int, int, str]]:
+        """Runs of spelled digits, by their digits; the separators go."""
+        low = text.lower()
+        if sum(word in low for word in DIGIT_WORDS) == 0:
+            return []
+        return [
+            (w.start(), w.end(), DIGIT_WORDS.get(w[0].lower(), ""))
+            for m in SPELLED.finditer(text)
+            for w in SPELLED_WORD.finditer(text, m.start(), m.end())
+        ]
+
+    @staticmethod
+    def marked(text: str) -> list[tuple[int, int, str]]:
+        """(at), [dot] and the like, by the sign."""
+        out = []
+        done = 0
+        for m in MARKED.finditer(text):
+            a, b = m.span()
+            while a > done and text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and text[b].isspace():
+                b += 1
+            out.append((a, b, "@" if m[1] else "."))
+            done = b
+        return out
+
+    @staticmethod
+    def bare(text: str) -> list[tuple[int, int, str]]:
+        """name at host dot domain."""
+        low = text.lower()
+        if " at " not in low or " dot " not in low:
+            return []
+        out = []
+        for m in BARE.finditer(text):
+            out.append((*m.span(1), "@"))
+            out += [(*d.span(), ".") for lo, hi in ((m.start(), m.start(1)), m.span(2)) for d in DOT_WORD.finditer(text, lo, hi)]
+        return sorted(out)
+
     @staticmethod
     def apply(text: str, new: list[tuple[int, int, str]], old: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
         """Rewrites text by ``new`` and composes them with ``old``, which made it."""
