@@ -99,6 +99,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
+def texts(column) -> Iterator[str | None]:
+    """An Arrow column's values one by one, so that a batch is never held twice."""
+    return (v.as_py() for v in column)
+
+
 def white_space() -> np.ndarray:
     """For each byte, whether it is one of [\\x20\\x09-\\x0D]."""
     out = np.zeros(256, dtype=bool)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped
+from .common import Shipped, texts
 
 UNDETERMINED = "und"
 
@@ -187,7 +187,7 @@ def _predict(handle: Shipped, with_model: bool) -> Callable:
             subwords, tables = Subwords(model.settings), model.tables()
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts(batch.column(1)):
                 points = subwords.points(text) if text and model is not None else ()
                 if not len(points):
                     langs.append(UNDETERMINED)

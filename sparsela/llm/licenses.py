@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
+
 # Known licence sentences by identifier, in normalised form (see
 # ``normalised``). <*> stands for up to twelve words, for names and years.
 SENTENCES = {
@@ -167,7 +169,7 @@ def _scan(recogniser: Recogniser) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 text = text or ""
                 low = text.lower()
                 if any(a in low for a in ANCHORS):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRUNE_TEXTS, SpanHasher, mix64, settings, shingle_set, staged, white_space
+from .common import PRUNE_TEXTS, SpanHasher, mix64, settings, shingle_set, staged, texts, white_space
 from .components import connected_components
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
@@ -37,7 +37,7 @@ def _sketcher(k: int, bands: int, rows: int) -> Callable:
         hasher, space = SpanHasher(fold=True), white_space()
         for batch in batches:
             ids, sizes, keys, band_keys, sketches = batch.column(0).to_pylist(), [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts(batch.column(1)):
                 values = shingle_set(text, k, hasher, space)
                 sizes.append(len(values))
                 if len(values) == 0:
@@ -111,7 +111,28 @@ def spanning_pairs(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, cut
     return out
 
 
-def _pairs_of_blocks(cut: float, sure: float, best: int) -> Callable:
+def crossing_pairs(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, cut: float, best: int, large: int = 32) -> list[tuple[int, int]]:
+    """Candidate links between the known components (roots) of one bucket.
+
+    Every member outside the largest component proposes its ``best`` partners in
+    other components, and twice as many among components of ``large`` members or
+    more here, where one link among many decides.
+    """
+    names, which, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    in_large = sizes[which] >= large
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(which != sizes.argmax()).tolist():
+        like = (sketches == sketches[i]).mean(axis=1)
+        for mask, most in ((~in_large, best), (in_large, 2 * best)):
+            near = np.flatnonzero(mask & (like >= cut) & (which != which[i]))
+            near = near[np.lexsort((ids[near], -like[near]))[:most]]
+            out += [(int(ids[i]), int(ids[j])) for j in near]
+    return out
+
+
+def _pairs_of_blocks(cut: float, sure: float, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         held: list[tuple] = []
@@ -123,7 +144,7 @@ def _pairs_of_blocks(cut: float, sure: float, best: int) -> Callable:
                 ids = np.array([h[0] for h in held], dtype=np.int64)
                 roots = np.array([h[1] for h in held], dtype=np.int64)
                 sketches = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint8).reshape(len(held), -1)
-                for x, y in spanning_pairs(ids, roots, sketches, cut, sure, best):
+                for x, y in spanning_pairs(ids, roots, sketches, cut, sure, 3) if turn == 0 else crossing_pairs(ids, roots, sketches, cut, 2 * 2**turn):
                     pair = (max(x, y), min(x, y))
                     if pair not in seen:
                         seen.add(pair)
@@ -163,10 +184,10 @@ def _verifier(k: int, percent: int) -> Callable:
             return recent[key]
 
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(j).to_pylist() for j in range(4))
+            a, b = (batch.column(j).to_pylist() for j in range(2))
             keep = []
-            for i in range(len(a)):
-                x, y = of(a[i], text_a[i]), of(b[i], text_b[i])
+            for i, (text_a, text_b) in enumerate(zip(texts(batch.column(2)), texts(batch.column(3)), strict=True)):
+                x, y = of(a[i], text_a), of(b[i], text_b)
                 if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
                     continue
                 shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
@@ -188,7 +209,7 @@ def near_duplicates(
     first_bands: int = 8,
     block: int = 1024,
     pivots: int = 64,
-    rounds: int = 2,
+    rounds: int = 3,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id, kept.
 
@@ -209,8 +230,9 @@ def near_duplicates(
        bands, a pair at the limit misses all buckets in one case of 150,000.
     5. Proposed pairs are confirmed on the full sets of their whole texts.
     6. Components by large-star and small-star. The first round takes the buckets
-       of the first bands; in the next ones those of all bands propose again
-       whose members are still in different components (``rounds`` in all).
+       of the first bands; in the next ones those of all bands propose again whose
+       members are still in different components, with more partners for each
+       member every time (``rounds`` in all).
 
     Null or empty text and text of white space alone has the empty set, and is
     linked with nothing. A row with a null id is its own component (null) and is
@@ -218,8 +240,8 @@ def near_duplicates(
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = staged(texts.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketch = staged(whole.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash")
     known = sketch.filter("set_key is not null and doc_id is not null")
     digest = F.xxhash64("set_key")
     classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("print", digest), "minhash-classes")
@@ -277,15 +299,17 @@ def near_duplicates(
             "doc_id", "root", "sketch",
         )
         proposed = (
-            blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-            .mapInArrow(_pairs_of_blocks(percent / 100 - 0.11, percent / 100 + 0.12, 3), "a long, b long").distinct()
+            blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc_id")
+            .mapInArrow(_pairs_of_blocks(percent / 100 - 0.11, percent / 100 + 0.12, turn), "a long, b long").distinct()
         )
         if tried is not None:
             proposed = proposed.join(tried, ["a", "b"], "left_anti")
         pairs = staged(proposed, "minhash-pairs")
+        if turn and pairs.isEmpty():
+            break
         with settings(spark, PRUNE_TEXTS):
-            first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-            second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+            first = whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+            second = whole.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
             links = staged(
                 pairs.filter("a >= b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
                 .mapInArrow(_verifier(shingle_words, percent), "a long, b long").distinct(),
@@ -293,8 +317,6 @@ def near_duplicates(
             )
         edges = links if edges is None else edges.unionByName(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn and links.isEmpty():
-            break
         roots = connected_components(edges)
     out = (
         sketch.select("doc_id", "n_shingles", "set_key")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns. Look-behinds and possessive runs only spare the
@@ -246,7 +248,7 @@ def _detect(with_text: bool) -> Callable:
         deobfuscator = Deobfuscator()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 base, added = find_spans(text or "", deobfuscator)
                 counts = [sum(x[2] == k for x in base) for k in range(len(KINDS))]
                 clean = redacted(text, base + added) if with_text and text is not None else None

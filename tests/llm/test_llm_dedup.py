@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparsela.llm.components import connected_components
 from sparsela.llm.exact_dedup import deduplicated, exact_dedup
-from sparsela.llm.minhash import near_duplicates, spanning_pairs
+from sparsela.llm.minhash import crossing_pairs, near_duplicates, spanning_pairs
 from sparsela.llm.queries import QUERIES
 
 
@@ -141,3 +141,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert ids[4] == ids[3] == ids[5]
     assert all(f.columns == docs.columns for f in frames[:-1])
     assert "@" not in "".join(r["text"] for r in frames[4].collect())
+
+
+def test_crossing_pairs_join_components_only():
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 255, 150, dtype=np.uint8)
+    sketches = np.tile(one, (50, 1))
+    sketches[49, :30] += 1
+    roots = np.array([0] * 48 + [48, 49])
+    pairs = crossing_pairs(np.arange(50), roots, sketches, 0.7, 4)
+    assert {a for a, _ in pairs} == {48, 49} and len(pairs) <= 2 * 12 and (48, 0) in pairs
+    assert crossing_pairs(np.arange(50), np.zeros(50, int), sketches, 0.7, 4) == []
