@@ -376,7 +376,7 @@ def pseudobulk_test(s, d):
 
 @query(
     """, g AS (SELECT f.feature, ident || '_' || batch AS grp, coalesce(sum(value), 0.0) AS value FROM features f CROSS JOIN cells c LEFT JOIN expr e ON e.feature = f.feature AND e.cell = c.cell GROUP BY 1, 2),
-    l AS (SELECT grp, ln(value) - avg(ln(value)) OVER (PARTITION BY feature) AS r, min(value) OVER (PARTITION BY feature) AS lo FROM g WHERE value > 0)
+    l AS (SELECT grp, ln(value) - avg(ln(value)) OVER (PARTITION BY feature) AS r FROM g WHERE feature IN (SELECT feature FROM g GROUP BY 1 HAVING min(value) > 0))
     SELECT grp AS "group", round(exp(quantile_cont(r, 0.5)), 6) AS size_factor FROM l GROUP BY 1""", "features", "cells", "expr",
 )
 def size_factors(s, d):
