@@ -42,18 +42,22 @@ class Louvain:
             w = np.bincount(at, weights=w, minlength=len(key))
             n, src, dst = len(labels), key // len(labels), key % len(labels)
 
-    def _level(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _around(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Degrees, and each node's neighbours and weights as slices."""
         loop = src == dst
         degree = np.bincount(src, weights=w, minlength=n) + np.bincount(dst, weights=w, minlength=n)
-        total = degree.sum()
         a = np.concatenate((src[~loop], dst[~loop]))
-        b = np.concatenate((dst[~loop], src[~loop]))
-        x = np.concatenate((w[~loop], w[~loop]))
         order = np.argsort(a, kind="stable")
-        b, x = b[order], x[order]
-        at = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=n))))
-        label = np.arange(n)
-        weight_of = degree.copy()
+        b = np.concatenate((dst[~loop], src[~loop]))[order]
+        x = np.concatenate((w[~loop], w[~loop]))[order]
+        return degree, np.concatenate(([0], np.cumsum(np.bincount(a, minlength=n)))), b, x
+
+    def _level(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        degree, at, b, x = self._around(n, src, dst, w)
+        total = degree.sum()
+        label = np.arange(n) if start is None else start.copy()
+        weight_of = np.bincount(label, weights=degree, minlength=n)
         if total == 0:
             return label
         changed = True
@@ -81,6 +85,57 @@ class Louvain:
         return label
 
 
+class Leiden(Louvain):
+    """Local moves as above; then each community is split into parts that hold
+    together, and the parts become the nodes of the next round, which starts from the
+    communities. So a community never falls apart inside."""
+
+    def run(self) -> np.ndarray:
+        member = np.arange(self.n)
+        n, src, dst, w = self.n, self.src, self.dst, self.weight
+        start = None
+        while True:
+            moved = self._level(n, src, dst, w, start)
+            parts, found = np.unique(self._refined(n, src, dst, w, moved), return_inverse=True)
+            if len(parts) == n:
+                return np.unique(moved, return_inverse=True)[1][member]
+            member = found[member]
+            _, community = np.unique(moved, return_inverse=True)
+            start = np.zeros(len(parts), dtype=np.int64)
+            start[found] = community
+            a, b = found[src], found[dst]
+            key, at = np.unique(np.minimum(a, b) * len(parts) + np.maximum(a, b), return_inverse=True)
+            w = np.bincount(at, weights=w, minlength=len(key))
+            n, src, dst = len(parts), key // len(parts), key % len(parts)
+
+    def _refined(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, community: np.ndarray) -> np.ndarray:
+        degree, at, b, x = self._around(n, src, dst, w)
+        total = degree.sum() or 1.0
+        label, weight_of, size = np.arange(n), degree.copy(), np.ones(n, dtype=np.int64)
+        for i in self.rng.permutation(n):
+            if size[label[i]] > 1:
+                continue
+            sums: dict[int, float] = {}
+            for j, v in zip(b[at[i] : at[i + 1]].tolist(), x[at[i] : at[i + 1]].tolist(), strict=True):
+                if community[j] == community[i] and label[j] != label[i]:
+                    sums[int(label[j])] = sums.get(int(label[j]), 0.0) + v
+            best, gain = -1, 1e-12
+            for c, v in sums.items():
+                g = v - self.resolution * degree[i] * weight_of[c] / total
+                if g > gain:
+                    best, gain = c, g
+            if best >= 0:
+                weight_of[best] += degree[i]
+                weight_of[label[i]] -= degree[i]
+                size[best] += 1
+                size[label[i]] -= 1
+                label[i] = best
+        return label
+
+
+ALGORITHMS = {1: Louvain, 2: Louvain, 4: Leiden}
+
+
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> float:
     """Of undirected edges (src < dst counted once) under (cell, cluster)."""
     e = upper_edges(edges)
@@ -93,9 +148,11 @@ def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -
     return inside["i"] / total - resolution * degrees["dd"] / (4 * total * total)
 
 
-def louvain(edges: DataFrame, cells: DataFrame, resolution: float = 0.5, seed: int = 0, max_edges: int = 20_000_000) -> DataFrame:
-    """(cell, cluster) by modularity on the driver, for graphs of at most max_edges
+def communities(edges: DataFrame, cells: DataFrame, resolution: float = 0.5, seed: int = 0, algorithm: int = 1, max_edges: int = 20_000_000) -> DataFrame:
+    """(cell, cluster) by modularity (1 and 2 Louvain, 4 Leiden) on the driver, for graphs of at most max_edges
     edges (a checked bound); beyond, label_propagation runs distributed."""
+    if algorithm not in ALGORITHMS:
+        raise NotImplementedError(f"algorithm {algorithm}: choose from {sorted(ALGORITHMS)}")
     upper = upper_edges(edges)
     if upper.count() > max_edges:
         return label_propagation(edges, cells)
@@ -104,7 +161,7 @@ def louvain(edges: DataFrame, cells: DataFrame, resolution: float = 0.5, seed: i
     rows = upper.select("src", "dst", "weight").toPandas()
     src, dst = rows["src"].map(order).to_numpy(), rows["dst"].map(order).to_numpy()
     sort = np.lexsort((dst, src))
-    labels = Louvain(len(names), src[sort], dst[sort], rows["weight"].to_numpy(float)[sort], resolution, seed).run()
+    labels = ALGORITHMS[algorithm](len(names), src[sort], dst[sort], rows["weight"].to_numpy(float)[sort], resolution, seed).run()
     spark = edges.sparkSession
     return spark.createDataFrame(list(zip(names, map(int, labels), strict=True)), "cell string, cluster long")
 
@@ -148,12 +205,12 @@ def group_singletons(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     return clusters.join(best.withColumnRenamed("src", "cell"), "cell", "left").select("cell", F.coalesce("to", "cluster").alias("cluster"))
 
 
-def find_clusters(edges: DataFrame, cells: DataFrame, resolutions: list[float], seed: int = 0, singletons: bool = True) -> DataFrame:
+def find_clusters(edges: DataFrame, cells: DataFrame, resolutions: list[float], seed: int = 0, singletons: bool = True, algorithm: int = 1) -> DataFrame:
     """(cell, res_<r> ..., clusters): labels per resolution, renumbered by size and
     then with singletons absorbed; clusters is the last."""
     out = cells.select("cell")
     for r in resolutions:
-        labels = renumber_by_size(louvain(edges, cells, r, seed), cells)
+        labels = renumber_by_size(communities(edges, cells, r, seed, algorithm), cells)
         if singletons:
             labels = group_singletons(labels, edges)
         out = out.join(labels.withColumnRenamed("cluster", f"res_{resolution_label(r)}"), "cell", "left")

@@ -289,3 +289,9 @@ def clara(s, d):
 @query("SELECT cell, rank() OVER (ORDER BY depth DESC) AS rank FROM cells", "cells")
 def competition_rank(s, d):
     return fix.cells(s, d).select("cell", F.rank().over(Window.orderBy(F.desc_nulls_last("depth"))).alias("rank"))
+
+
+@query()
+def find_clusters_leiden(s, d):
+    e = fix.embedding(s, d)
+    return cl.find_clusters(nb.snn_graph(nb.knn(e, 10), 10), e, [0.8], algorithm=4)

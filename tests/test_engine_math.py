@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparsela.functions import special as f
-from sparsela.operators.clustering import Louvain, resolution_label
+from sparsela.operators.clustering import Leiden, Louvain, resolution_label
 from sparsela.operators.demux import medoids, negbinom_quantile
 from sparsela.operators.models import nb_theta, two_normals
 from sparsela.operators.plots import hue_palette
@@ -61,9 +61,10 @@ def test_medoids():
     assert set(medoids(points, 2)) == {0, 3}
 
 
-def test_louvain_finds_cliques():
+@pytest.mark.parametrize("method", [Louvain, Leiden])
+def test_communities_are_the_cliques(method):
     src, dst = zip(*[(a + o, b + o) for o in (0, 6, 12) for a in range(6) for b in range(a + 1, 6)], (0, 6), (6, 12))
-    labels = Louvain(18, np.array(src), np.array(dst), np.ones(len(src)), 1.0, 0).run()
+    labels = method(18, np.array(src), np.array(dst), np.ones(len(src)), 1.0, 0).run()
     assert len(set(labels)) == 3 and all(len(set(labels[o : o + 6])) == 1 for o in (0, 6, 12))
 
 
