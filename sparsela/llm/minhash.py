@@ -229,10 +229,10 @@ def near_duplicates(
        pairs, a few for each member instead of all pairs. With 150 minima in 30
        bands, a pair at the limit misses all buckets in one case of 150,000.
     5. Proposed pairs are confirmed on the full sets of their whole texts.
-    6. Components by large-star and small-star. The first round takes the buckets
-       of the first bands; in the next ones those of all bands propose again whose
-       members are still in different components, with more partners for each
-       member every time (``rounds`` in all).
+    6. Components by large-star and small-star. The ``rounds`` share the bands out:
+       the first takes ``first_bands`` of them; in each of the next those buckets
+       propose whose members are still in different components, with more
+       partners for each member every time.
 
     Null or empty text and text of white space alone has the empty set, and is
     linked with nothing. A row with a null id is its own component (null) and is
@@ -261,12 +261,15 @@ def near_duplicates(
             .select("bucket", "band", "doc_id"),
             "minhash-found",
         )
+    # the rounds share the bands out: each round has buckets of its own
+    per_round = -(-max(1, bands - first_bands) // max(1, rounds - 1))
+    turn_of = F.when(F.col("band") < first_bands, 0).otherwise(F.least(F.lit(rounds - 1), 1 + F.floor((F.col("band") - first_bands) / per_round))).cast("int")
     distinct = (
         found.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.min("band").alias("band")
+            F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.min(turn_of).alias("turn")
         )
-        .groupBy("n", "least", "print").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket"))
-        .select("bucket", "n")
+        .groupBy("n", "least", "print", "turn").agg(F.min("bucket").alias("bucket"))
+        .select("bucket", "n", "turn")
     )
     placed = staged(found.join(distinct, "bucket"), "minhash-placed")
     heads = classes.select("set_key", F.col("class_id").alias("doc_id"))
@@ -274,16 +277,16 @@ def near_duplicates(
         wanted = placed.filter("n > 1").select("doc_id")
         sketches = known.select("doc_id", "set_key", "sketch").join(wanted, "doc_id", "left_semi").join(heads, ["doc_id", "set_key"], "left_semi")
         members = staged(
-            placed.join(sketches.groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "doc_id").select("bucket", "band", "doc_id", "sketch", "n"), "minhash-members"
+            placed.join(sketches.groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "doc_id").select("bucket", "turn", "doc_id", "sketch", "n"), "minhash-members"
         )
 
     edges: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
     for turn in range(rounds):
-        at = members.filter(F.col("band") < first_bands) if turn == 0 and rounds > 1 else members
+        at = members.filter(F.col("turn") == turn)
         if roots is not None:
-            at = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            at = at.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
             open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
             at = at.join(open_, "bucket", "left_semi")
         else:
@@ -306,7 +309,7 @@ def near_duplicates(
             proposed = proposed.join(tried, ["a", "b"], "left_anti")
         pairs = staged(proposed, "minhash-pairs")
         if turn and pairs.isEmpty():
-            break
+            continue
         with settings(spark, PRUNE_TEXTS):
             first = whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
             second = whole.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
