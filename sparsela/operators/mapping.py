@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import anchor_kernel, fetch_scale
+from ..plans.store import materialised
 from .aggregate import label_votes
 from .neighbors import knn, mutual_neighbors
 
@@ -37,6 +38,7 @@ def find_anchors(a: DataFrame, b: DataFrame, k_anchor: int = 5, k_score: int = 3
 def anchors_from(ab: DataFrame, ba: DataFrame, aa: DataFrame, bb: DataFrame, k_anchor: int, k_score: int) -> DataFrame:
     """find_anchors on neighbour tables: across (ab, ba) and within (aa, bb, with the
     cells themselves first). Scores count the neighbours two cells share."""
+    ab, ba = materialised(ab, "across"), materialised(ba, "across")
     pairs = mutual_neighbors(ab.filter(F.col("rank") <= k_anchor), ba.filter(F.col("rank") <= k_anchor))
     aa, bb = (x.filter("rank > 1").select("cell", "nbr") for x in (aa, bb))
     around1 = aa.unionByName(ab.filter(F.col("rank") <= k_score).select("cell", "nbr")).select(F.col("cell").alias("cell1"), "nbr")
@@ -65,6 +67,7 @@ def anchor_weights(anchors: DataFrame, query: DataFrame, k_weight: int = 100, sd
     cells, walked outwards and expanded into their anchors (by name) until k_weight
     anchors; weights sum to 1. anchors: (cell1, cell2, score), cell2 the query's;
     query: (cell, ord, vec)."""
+    anchors = materialised(anchors, "anchors")
     k = min(k_weight, anchors.count())
     cells = query.join(anchors.select(F.col("cell2").alias("cell")).distinct(), "cell", "left_semi")
     if cells.count() < k:
