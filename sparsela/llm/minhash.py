@@ -198,6 +198,99 @@ def _verifier(k: int, percent: int) -> Callable:
     return run
 
 
+def _sets(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, space = SpanHasher(fold=True), white_space()
+        for batch in batches:
+            values = [shingle_set(text, k, hasher, space).tobytes() for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "values"])
+
+    return run
+
+
+def linking_pairs(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between members (id, root, set) of two blocks, by their full sets.
+
+    Every pair of different roots is compared; of the links found those come back
+    that join two components not yet joined here, which has the same components.
+    """
+    names = {r: k for k, r in enumerate(dict.fromkeys(m[1] for m in (*left, *right)))}
+    comp = np.arange(len(names))
+    at = np.array([names[m[1]] for m in right])
+    sizes = np.array([len(m[2]) for m in right])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    values, flat = np.unique(np.concatenate([m[2] for m in right]), return_inverse=True)
+    mark = np.zeros(len(values), dtype=np.int32)
+    out: list[tuple[int, int]] = []
+    for i, root, own in left:
+        n = len(own)
+        if not ((comp[at] != comp[names[root]]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))).any():
+            continue
+        where = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        where = where[values[where] == own]
+        mark[where] = 1
+        shared = np.add.reduceat(mark[flat], starts)
+        mark[where] = 0
+        linked = 100 * shared >= percent * (n + sizes - shared)
+        for j in np.flatnonzero(linked & (comp[at] != comp[names[root]])).tolist():
+            if comp[at[j]] != comp[names[root]]:
+                out.append((max(i, right[j][0]), min(i, right[j][0])))
+                comp[comp == comp[at[j]]] = comp[names[root]]
+    return out
+
+
+def _links_of_blocks(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list, list] = ([], [])
+        last = None
+
+        def close() -> pa.RecordBatch:
+            found = linking_pairs(*sides, percent) if all(sides) else []
+            for side in sides:
+                side.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(j).to_pylist() for j in range(6)]
+            for *task, side, i, root, values in zip(*columns, texts(batch.column(6)), strict=True):
+                if task != last:
+                    yield close()
+                    last = task
+                sides[side].append((i, root, np.frombuffer(values, dtype=np.uint64)))
+        yield close()
+
+    return run
+
+
+def _rest(members: DataFrame, roots: DataFrame, whole: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """The links left in all buckets, exactly: who is outside the largest component
+    of a bucket meets every member of it in tasks of two blocks, with full sets."""
+    at = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = (
+        counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        .select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("n") / block).alias("es"), F.ceil((F.col("n") - F.col("top.c")) / block).alias("os"))
+    )
+    at = staged(at.join(open_, "bucket"), "minhash-open")
+    number = F.xxhash64("doc_id", "bucket")
+    every = at.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1)).alias("o"), F.pmod(number, "es").alias("e"), F.lit(1).alias("side"), "doc_id", "root")
+    outside = at.filter("root <> main").select(
+        "bucket", F.pmod(number, "os").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("es") - 1)).alias("e"), F.lit(0).alias("side"), "doc_id", "root"
+    )
+    with settings(whole.sparkSession, PRUNE_TEXTS):
+        sets = staged(
+            whole.join(at.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, values binary")
+            .groupBy("doc_id").agg(F.first("values").alias("values")),
+            "minhash-sets",
+        )
+        return staged(
+            outside.unionByName(every).join(sets, "doc_id").select("bucket", "o", "e", "side", "doc_id", "root", "values")
+            .repartition("bucket", "o", "e").sortWithinPartitions("bucket", "o", "e", "side")
+            .mapInArrow(_links_of_blocks(percent), "a long, b long").distinct(),
+            "minhash-rest",
+        )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -223,16 +316,22 @@ def near_duplicates(
        minimum. The table is written to shared storage.
     2. Documents with equal sets collapse to their smallest id.
     3. Band keys with two different sets or more are buckets. Buckets with the
-       same members are one. A bucket larger than ``block`` is split by hash into
-       blocks which all see the same ``pivots`` members, anew for each band.
+       same members are one. For the proposals of 4, a bucket larger than ``block``
+       is split by hash into blocks which all see the same ``pivots`` members, anew
+       for each bucket.
     4. In a block, a maximum spanning tree over sketch similarities proposes
-       pairs, a few for each member instead of all pairs. With 150 minima in 30
-       bands, a pair at the limit misses all buckets in one case of 150,000.
+       pairs, a few for each member instead of all pairs. What this leaves out (by
+       the number of partners, the blocks or the sketches) is left to 7.
     5. Proposed pairs are confirmed on the full sets of their whole texts.
     6. Components by large-star and small-star. The ``rounds`` share the bands out:
        the first takes ``first_bands`` of them; in each of the next those buckets
        propose whose members are still in different components, with more
        partners for each member every time.
+    7. The rest is exact: in every bucket, of whatever band, that still has several
+       components, each member outside the largest one is compared by full sets
+       with all members of other components, in tasks of two blocks of ``block / 4``
+       members. So every linked pair that shares a bucket is in one component; with
+       150 minima in 30 bands, a pair at the limit shares none in one case of 150,000.
 
     Null or empty text and text of white space alone has the empty set, and is
     linked with nothing. A row with a null id is its own component (null) and is
@@ -321,6 +420,9 @@ def near_duplicates(
         edges = links if edges is None else edges.unionByName(links)
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = connected_components(edges)
+    rest = _rest(members, roots, whole, shingle_words, percent, max(1, block // 4))
+    if not rest.isEmpty():
+        roots = connected_components(edges.unionByName(rest))
     out = (
         sketch.select("doc_id", "n_shingles", "set_key")
         .join(classes, "set_key", "left")

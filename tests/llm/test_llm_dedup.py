@@ -152,3 +152,17 @@ def test_crossing_pairs_join_components_only():
     pairs = crossing_pairs(np.arange(50), roots, sketches, 0.7, 4)
     assert {a for a, _ in pairs} == {48, 49} and len(pairs) <= 2 * 12 and (48, 0) in pairs
     assert crossing_pairs(np.arange(50), np.zeros(50, int), sketches, 0.7, 4) == []
+
+
+def numbered(prefix, n):
+    return [f"{prefix}{k}" for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_partner_among_many_lookalikes(spark, seed):
+    # 300 texts at 0.783 to each other; one pair among them at 0.801
+    common = numbered(f"s{seed}c", 394)
+    rows = [(i, " ".join(common + numbered(f"s{seed}d{i}w", 54))) for i in range(300)]
+    rows.append((300, " ".join(common + numbered(f"s{seed}d150w", 5) + numbered(f"s{seed}d300w", 49))))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i for i in range(300)} | {300: 150}
