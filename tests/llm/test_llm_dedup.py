@@ -166,3 +166,12 @@ def test_near_partner_among_many_lookalikes(spark, seed):
     rows.append((300, " ".join(common + numbered(f"s{seed}d150w", 5) + numbered(f"s{seed}d300w", 49))))
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(spark, rows)).collect()}
     assert got == {i: i for i in range(300)} | {300: 150}
+
+
+@pytest.mark.parametrize("k", [1041, 2633, 4052])
+def test_near_pair_whose_sketches_disagree(spark, k):
+    # similarity 0.804, several shared bands, but only 102 of 150 minima are equal
+    rng = random.Random(k)
+    common = [f"w{rng.randrange(10**9)}" for _ in range(94)]
+    rows = [(1, " ".join(common + [f"x{k}i{i}" for i in range(11)])), (2, " ".join(common + [f"y{k}i{i}" for i in range(11)]))]
+    assert {r["component_id"] for r in near_duplicates(docs_of(spark, rows)).collect()} == {1}
