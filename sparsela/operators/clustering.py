@@ -150,12 +150,12 @@ def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -
 
 def communities(edges: DataFrame, cells: DataFrame, resolution: float = 0.5, seed: int = 0, algorithm: int = 1, max_edges: int = 20_000_000) -> DataFrame:
     """(cell, cluster) by modularity (1 and 2 Louvain, 4 Leiden) on the driver, for graphs of at most max_edges
-    edges (a checked bound); beyond, label_propagation runs distributed."""
+    edges (a checked bound): beyond, it raises, as label_propagation is another method."""
     if algorithm not in ALGORITHMS:
         raise NotImplementedError(f"algorithm {algorithm}: choose from {sorted(ALGORITHMS)}")
     upper = upper_edges(edges)
     if upper.count() > max_edges:
-        return label_propagation(edges, cells)
+        raise ValueError(f"more than {max_edges} edges: modularity is not built for larger graphs; label_propagation is another method")
     names = [r[0] for r in cells.orderBy("ord").select("cell").collect()]
     order = {c: k for k, c in enumerate(names)}
     rows = upper.select("src", "dst", "weight").toPandas()

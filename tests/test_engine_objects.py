@@ -393,3 +393,10 @@ def test_variable_features_find_the_planted(planted, spread):
     assert vf.dispersions(nz.log_normalize(m), 10, "equal_frequency").filter("bin < -1 or bin > 9").count() == 0
     many = nz.regress_out_many(nz.scale_data(nz.log_normalize(m), ["f1", "f2"]), m.cells.withColumn("k", F.col("ord").cast("double")), ["k"])
     assert abs(many.join(m.cells, "cell").agg(F.corr("value", "ord")).first()[0]) < 1e-9
+
+
+def test_modularity_raises_above_its_bound(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
+    cells = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "cell string, ord int")
+    with pytest.raises(ValueError, match="edges"):
+        cl.communities(edges, cells, max_edges=1)
