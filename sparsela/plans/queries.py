@@ -613,8 +613,7 @@ def band_pairs(s, d):
 
 @query()
 def mark_variogram(s, d):
-    m = fix.data(s, d)
-    return sp.mark_variogram(m.expr.join(m.features.filter("ord between 50 and 59").select("feature"), "feature", "left_semi"), fix.centroids(s, d))
+    return sp.mark_variogram(fix.data(s, d).expr, fix.centroids(s, d))
 
 
 @query()

@@ -400,3 +400,10 @@ def test_modularity_raises_above_its_bound(spark):
     cells = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "cell string, ord int")
     with pytest.raises(ValueError, match="edges"):
         cl.communities(edges, cells, max_edges=1)
+
+
+def test_mark_variogram_query_has_all_features(spark, sf_dir):
+    from sparsela.plans import fixture as fix
+    from sparsela.plans.queries import mark_variogram
+
+    assert mark_variogram(spark, sf_dir).count() == fix.data(spark, sf_dir).expr.select("feature").distinct().count()
