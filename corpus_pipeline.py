@@ -24,8 +24,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity 0.8) the
-    smallest id stays."""
-    return docs.join(near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    smallest id stays. Documents with a null id stay."""
+    kept = docs.join(near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

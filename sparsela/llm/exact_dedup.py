@@ -78,6 +78,12 @@ def exact_dedup(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns unchanged."""
-    kept = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).cast("long").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    """The rows of docs that exact_dedup keeps, with their columns unchanged. Rows with
+    a null id stay where their text has no other id: one of each such text."""
+    rows = exact_dedup(docs, id_col, text_col, keep)
+    kept = rows.filter("kept").select(F.col(id_col).cast("long").alias("_kept_id")).distinct()
+    known = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    key = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    alone = rows.filter("keep_id is null").select(F.col("text_sha256").alias("_alone")).distinct()
+    unnamed = docs.filter(F.col(id_col).cast("long").isNull()).withColumn("_key", key).join(alone, F.col("_key") == F.col("_alone"), "left_semi")
+    return known.unionByName(unnamed.dropDuplicates(["_key"]).drop("_key"))

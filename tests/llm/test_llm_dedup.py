@@ -175,3 +175,12 @@ def test_near_pair_whose_sketches_disagree(spark, k):
     common = [f"w{rng.randrange(10**9)}" for _ in range(94)]
     rows = [(1, " ".join(common + [f"x{k}i{i}" for i in range(11)])), (2, " ".join(common + [f"y{k}i{i}" for i in range(11)]))]
     assert {r["component_id"] for r in near_duplicates(docs_of(spark, rows)).collect()} == {1}
+
+
+def test_pipeline_keeps_documents_without_id(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = docs_of(spark, [(None, "only"), (None, "twice"), (None, "twice"), (None, "a"), (1, "a")])
+    exact = corpus_pipeline.exact(spark, rows, sf_dir)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact.collect()) == [(0, "only"), (0, "twice"), (1, "a")]
+    assert corpus_pipeline.near(spark, exact, sf_dir).count() == 3
