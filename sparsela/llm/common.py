@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,42 +14,75 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lets Catalyst build its Bloom filter for joins of whole texts with a short
-#: list of ids, whatever the size of the scan, so that texts without a partner
+#: Rows with texts come to Python in batches bounded by their bytes, not by rows alone.
+BATCH_BYTES = 4 << 20
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+
+#: Lets Catalyst build its Bloom filter for joins of whole texts (or sets) with a
+#: short list of ids, whatever the size of the scan, so that rows without a partner
 #: are dropped before the shuffle. Nothing is broadcast: one plan for all sizes.
-#: Pairs of texts come to Python in small batches.
-PRUNE_TEXTS = {
+PRUNE_TEXTS = TEXT_BATCHES | {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m",
 }
 
+#: Writers hold a row group in memory for each task.
+ROW_GROUP_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_if_there(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits for Arrow batches and Parquet row groups to those
+    above, where they are larger. An operator that returns a lazy frame needs them when
+    the caller runs it, so they stay; other settings are held for a step only."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.block.size", ROW_GROUP_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share.
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the cluster names none (as in tests) a local folder is made.
+    Only where it is unset on a local master (as in tests) a local folder is made;
+    on a cluster that would lose rows, so it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sparsela-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df once to shared storage and reads it back: cuts the lineage and
-    survives the loss of executors."""
+    survives the loss of executors. ``discard`` removes it."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes what ``staged`` wrote, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
@@ -99,7 +133,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-def texts(column) -> Iterator[str | None]:
+def values_of(column) -> Iterator:
     """An Arrow column's values one by one, so that a batch is never held twice."""
     return (v.as_py() for v in column)
 

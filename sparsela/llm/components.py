@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     if before[0] == 0:
         return spark.createDataFrame([], "node long, root long")
     for _ in range(max_rounds):
-        now = staged(_star(_star(now, True), False), "cc")
+        last, now = now, staged(_star(_star(now, True), False), "cc")
+        discard(last)
         after = print_of(now)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

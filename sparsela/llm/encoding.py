@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -22,16 +23,21 @@ _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 
 
 class ByteBpe:
-    """ids as the vocabulary's library gives them, without special tokens.
+    """ids as the vocabulary's library gives them with add_special_tokens=False.
+
+    A special token's string in a text (``<|endoftext|>``) is that token, as the
+    library has it; with ``literal`` it is ordinary text.
 
     The same vocabulary lies beside it as ranks (``.tiktoken``), which the other
     public library encodes five times as fast and with the same ids. It serves
-    the texts of ASCII and Latin characters, about which the two can't differ;
-    all other texts, or all of them where there are no ranks, go to the first.
+    the texts of ASCII and Latin characters without such strings, about which the
+    two can't differ; all others, or all where there are no ranks, go to the first.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path, self._slow = path, None
+    def __init__(self, path: str, literal: bool = False) -> None:
+        self.path, self.literal, self._slow = path, literal, None
+        with open(path, encoding="utf-8") as f:
+            self.specials = [x["content"] for x in json.load(f).get("added_tokens", [])]
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.fast = None
         if os.path.exists(ranks):
@@ -51,29 +57,16 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
+            self._slow.encode_special_tokens = self.literal
         return self._slow
 
     def one(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
-        if self.fast is not None and not _PLAIN.search(text):
+        if self.fast is not None and not _PLAIN.search(text) and (self.literal or not any(x in text for x in self.specials)):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; null is the empty text."""
         return [self.one(t) for t in texts]
-
-
-def in_groups(texts: list[str | None], most: int = 1 << 21) -> Iterable[tuple[int, int]]:
-    """Ranges of texts with about ``most`` characters, one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and size + n > most:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)

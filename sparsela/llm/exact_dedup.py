@@ -25,7 +25,8 @@ def exact_dedup(
     byte by byte: inside every hash group of several rows the distinct texts are
     counted, and a group with two or more is grouped anew by the texts themselves.
 
-    Null text is the empty text. A null id is never chosen while its group has
+    Null text is the empty text; a text of any length is hashed and compared whole. An
+    empty table gives no rows. A null id is never chosen while its group has
     another; in a group of null ids alone keep_id is null and none is kept.
     Rows that repeat both id and text are one document: they carry the same
     values, and all of them are kept or none. Other columns are ignored.
@@ -78,12 +79,17 @@ def exact_dedup(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns unchanged. Rows with
-    a null id stay where their text has no other id: one of each such text."""
+    """One row of docs for each text, columns unchanged: that of the id which exact_dedup
+    keeps. Rows are told apart by id and text, so an id that repeats with another text is
+    another document. Of rows that repeat both one stays; a row with a null id stays
+    where its text has no other id. Null, empty and very long texts and an empty table
+    are as in exact_dedup; columns may have any names."""
     rows = exact_dedup(docs, id_col, text_col, keep)
-    kept = rows.filter("kept").select(F.col(id_col).cast("long").alias("_kept_id")).distinct()
-    known = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
-    key = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    alone = rows.filter("keep_id is null").select(F.col("text_sha256").alias("_alone")).distinct()
-    unnamed = docs.filter(F.col(id_col).cast("long").isNull()).withColumn("_key", key).join(alone, F.col("_key") == F.col("_alone"), "left_semi")
-    return known.unionByName(unnamed.dropDuplicates(["_key"]).drop("_key"))
+
+    def key(id_: Column) -> list[Column]:
+        return [F.coalesce(id_, F.lit(0).cast("long")).alias("_id"), id_.isNull().alias("_unnamed")]
+
+    stays = rows.filter("kept or keep_id is null").select(*key(F.col(id_col)), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key(F.col(id_col).cast("long")), sha.alias("_sha"))
+    return packed.join(stays, ["_id", "_unnamed", "_sha"], "left_semi").dropDuplicates(["_id", "_unnamed", "_sha"]).select("_row.*")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shipped, texts
+from .common import Shipped, bound_batches, values_of
 
 UNDETERMINED = "und"
 
@@ -18,15 +19,16 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Settings:
     """The model's size, its training, and the bound of its sample: sample_rows
-    labelled rows of at most sample_chars characters each reach the driver."""
+    labelled rows (or one of each language, where there are more languages) of at most
+    sample_chars characters each reach the driver. More languages than max_languages
+    raise."""
 
     buckets: int = 1 << 16
     dim: int = 16
     orders: tuple[int, ...] = (1, 2, 3, 4)
     sample_rows: int = 4000
     sample_chars: int = 20_000
-    max_languages: int = 400
-    min_rows: int = 5
+    max_languages: int = 10_000
     windows: int = 4
     epochs: int = 4
     rate: float = 0.5
@@ -41,11 +43,11 @@ class Subwords:
 
     def __init__(self, settings: Settings) -> None:
         self.settings = settings
-        self.letter = np.fromiter((chr(c).isalpha() for c in range(0x10000)), dtype=bool, count=0x10000)
+        self.letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
     def points(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        is_letter = self.letter[np.minimum(raw, 0xFFFF)] | (raw > 0xFFFF)
+        is_letter = self.letter[raw]
         if not is_letter.any():
             return np.empty(0, dtype=np.uint32)
         keep = is_letter.copy()
@@ -165,19 +167,27 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
 
 
 def labelled_sample(docs: DataFrame, settings: Settings, text_col: str, label_col: str, key: Column) -> list[tuple[str, str]]:
-    """At most sample_rows labelled rows, evenly over the languages, chosen by a
-    hash of ``key``. Texts above sample_chars are not drawn. Only counts and the
-    sample come to the driver: about a tenth more rows than it are drawn, and the
-    first by the hash are taken."""
-    rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.min_rows).orderBy(F.desc("n"), label_col).limit(settings.max_languages).collect()
+    """At most sample_rows labelled rows, evenly over the languages and one of each at
+    least, chosen by a hash of ``key``. Of a text above sample_chars a piece of that
+    length is taken, from a place that the hash gives. Only counts and the sample come
+    to the driver: somewhat more rows than it are drawn, and each language's first by
+    the hash are taken."""
+    rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), key.alias("key"))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(settings.max_languages + 1).collect()
     if not counts:
         return []
+    if len(counts) > settings.max_languages:
+        raise ValueError(f"more than {settings.max_languages} languages")
     each = max(1, settings.sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 1.1 * each / r["n"]))])
-    drawn = F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(1 << 40)) < F.element_at(share, F.col(label_col)) * (1 << 40)
-    some = rows.filter(drawn & (F.char_length(text_col) <= settings.sample_chars)).select(text_col, label_col, F.xxhash64(key).alias("_order"))
-    return [(r[0], r[1]) for r in some.orderBy("_order", text_col).limit(settings.sample_rows).collect()]
+    drawn = each + 4 * each**0.5 + 8
+    share = docs.sparkSession.createDataFrame([(r["label"], min(1.0, drawn / r["n"])) for r in counts], "label string, share double")
+    order = F.xxhash64("key", F.lit(settings.seed))
+    start = F.pmod(order, F.greatest(F.char_length("text") - settings.sample_chars + 1, F.lit(1))).cast("int") + 1
+    some = rows.withColumn("order", order).join(F.broadcast(share), "label").filter(F.pmod("order", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    some = some.select(F.substring("text", start, F.lit(settings.sample_chars)).alias("text"), "label", "order")
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))
+    taken = some.withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("order", "text", "label").collect()
+    return [(r["text"], r["label"]) for r in taken]
 
 
 def _predict(handle: Shipped, with_model: bool) -> Callable:
@@ -187,7 +197,7 @@ def _predict(handle: Shipped, with_model: bool) -> Callable:
             subwords, tables = Subwords(model.settings), model.tables()
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for text in texts(batch.column(1)):
+            for text in values_of(batch.column(1)):
                 points = subwords.points(text) if text and model is not None else ()
                 if not len(points):
                     langs.append(UNDETERMINED)
@@ -214,9 +224,13 @@ def held_out(id_col: Column) -> Column:
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", flag: Column | None = None) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score (calibrated probability),
     rejected (score below the limit). Without letters, or without a model, it is
-    ``und`` with score 0, rejected. Whole texts; rows are independent: no shuffle."""
+    ``und`` with score 0, rejected. Null and empty texts have no letters; a letter is
+    a character of a letter category of Unicode, on whatever plane. Whole texts of any
+    length; rows are independent, so repeats get the same values: no shuffle. Of equally
+    probable languages the first by name wins. Other columns are ignored."""
+    bound_batches(docs.sparkSession)
     handle = Shipped(docs.sparkSession, model)
-    rows = docs.select(F.col(id_col).cast("long").alias("a"), F.col(text_col), (F.lit(False) if flag is None else flag).alias("c"))
+    rows = docs.select(F.col(id_col).cast("long").alias("a"), F.col(text_col).cast("string"), (F.lit(False) if flag is None else flag).alias("c"))
     return rows.mapInArrow(_predict(handle, model is not None), f"{id_col} long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -225,7 +239,8 @@ def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The label and id are never inputs of a prediction; the id only deals the
     rows out. Repeated rows count as often as they are drawn; null ids are not
-    held out. An empty or unlabelled table gives ``und`` throughout.
+    held out. Every language of the learned rows is learned, however rare. An empty
+    table gives no rows, an unlabelled one ``und`` throughout.
     """
     flag = held_out(F.col(id_col))
     rows = labelled_sample(docs.filter(~flag), settings, text_col, label_col, F.col(id_col))

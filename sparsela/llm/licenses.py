@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bound_batches, values_of
 
 # Known licence sentences by identifier, in normalised form (see
 # ``normalised``). <*> stands for up to twelve words, for names and years.
@@ -50,8 +52,56 @@ SENTENCES = {
     "CcByWork": "this work is licensed under a creative commons attribution 4.0 international license",
     "CcZero": "licensed under cc0 1.0",
     "Unlicense": "this is free and unencumbered software released into the public domain",
+    "ApacheTitle": "apache license version 2.0 january 2004",
+    "ApacheTerms": "terms and conditions for use reproduction and distribution",
+    "ApacheCopyright": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "Gpl3Title": "gnu general public license version 3 29 june 2007",
+    "Gpl3Free": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "Gpl2Title": "gnu general public license version 2 june 1991",
+    "Gpl2Freedom": "the licenses for most software are designed to take away your freedom to share and change it",
+    "Lgpl3Title": "gnu lesser general public license version 3 29 june 2007",
+    "Lgpl21Title": "gnu lesser general public license version 2.1 february 1999",
+    "Agpl3Title": "gnu affero general public license version 3 19 november 2007",
+    "Agpl3Terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "MplTitle": "mozilla public license version 2.0",
+    "ZlibAsIs": "this software is provided as-is without any express or implied warranty",
+    "ZlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "BoostGrant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "EclipseText": "the accompanying program is provided under the terms of this eclipse public license",
+    "CcZeroDeed": "the person who associated a work with this deed has dedicated the work to the public domain",
 }
 
+# What licences are called in notices such as "released under the MIT
+# License", in normalised form. The longest name that fits counts.
+NAMES = {
+    "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache license v2.0", "apache 2.0 license", "apache 2.0", "apache-2.0", "apache license"),
+    "MIT": ("mit license", "mit licence", "mit"),
+    "BSD-3-Clause": ("bsd 3-clause license", "bsd 3-clause", "bsd-3-clause", "3-clause bsd license", "new bsd license"),
+    "BSD-2-Clause": ("bsd 2-clause license", "bsd 2-clause", "bsd-2-clause", "2-clause bsd license", "simplified bsd license"),
+    "BSD": ("bsd license", "bsd"),
+    "ISC": ("isc license",),
+    "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v3.0", "gnu gpl version 3", "gnu gpl v3", "gplv3", "gpl v3", "gpl-3.0"),
+    "GPL-2.0": ("gnu general public license version 2", "gnu general public license v2", "gnu general public license v2.0", "gnu gpl version 2", "gnu gpl v2", "gplv2", "gpl v2", "gpl-2.0"),
+    "GPL": ("gnu general public license", "gnu gpl", "gpl"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lgpl v3", "lgplv3", "lgpl-3.0"),
+    "LGPL-2.1": ("gnu lesser general public license version 2.1", "gnu lgpl v2.1", "lgplv2.1", "lgpl-2.1"),
+    "LGPL": ("gnu lesser general public license", "lgpl"),
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu affero general public license", "agplv3", "agpl-3.0"),
+    "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0", "mpl 2.0", "mpl-2.0"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license 2.0", "epl-2.0"),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license"),
+    "Zlib": ("zlib license",),
+    "Unlicense": ("unlicense",),
+    "CC0-1.0": ("cc0 1.0", "cc0-1.0", "cc0", "creative commons zero"),
+    "CC-BY-4.0": ("cc by 4.0", "cc-by 4.0", "cc-by-4.0", "creative commons attribution 4.0 international license", "creative commons attribution 4.0"),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0", "cc-by-sa-4.0", "creative commons attribution-sharealike 4.0 international license"),
+    "CC-BY-NC-4.0": ("cc by-nc 4.0", "cc-by-nc-4.0", "creative commons attribution-noncommercial 4.0 international license"),
+    "CC-BY-NC-SA-4.0": ("cc by-nc-sa 4.0", "cc-by-nc-sa-4.0"),
+    "CC-BY-ND-4.0": ("cc by-nd 4.0", "cc-by-nd-4.0"),
+}
+NOTICE_VERBS = frozenset("licensed licenced released distributed available published provided shared covered".split())
+NOTICE_FILL = frozenset("the a an terms conditions and of this".split())
+
 # Licence rules in order. A rule is a sequence of sentence
 # identifiers; a trailing ? marks one that may be missing.
 RULES = (
@@ -62,8 +112,19 @@ RULES = (
     ("Apache-2.0", "ApacheNoticeThe ApacheNoUse ApacheObtain? ApacheObtainUrl? ApacheAsIs? ApacheSee?"),
     ("GPL-3.0-or-later", "Gpl3Terms GplHope? GplSee?"),
     ("GPL-2.0-or-later", "Gpl2Terms GplHope? GplSee?"),
+    ("AGPL-3.0-or-later", "Agpl3Terms GplHope?"),
     ("LGPL", "LgplTerms"),
     ("MPL-2.0", "MplTerms"),
+    ("Zlib", "ZlibAsIs ZlibGrant"),
+    ("BSL-1.0", "BoostGrant"),
+    ("EPL-2.0", "EclipseText"),
+    ("Apache-2.0", "ApacheTitle ApacheTerms? ApacheCopyright?"),
+    ("GPL-3.0", "Gpl3Title Gpl3Free?"),
+    ("GPL-2.0", "Gpl2Title Gpl2Freedom?"),
+    ("LGPL-3.0", "Lgpl3Title"),
+    ("LGPL-2.1", "Lgpl21Title"),
+    ("AGPL-3.0", "Agpl3Title"),
+    ("CC0-1.0", "CcZeroDeed"),
     ("Apache-2.0", "ApacheNotice"),
     ("Apache-2.0", "ApacheNoticeThe"),
     ("MIT", "MitNotice"),
@@ -79,10 +140,17 @@ RULES = (
     ("CC-BY-4.0", "CcByWork"),
     ("CC0-1.0", "CcZero"),
     ("Unlicense", "Unlicense"),
+    ("MPL-2.0", "MplTitle"),
 )
 
-#: Every known sentence has one of these; a text with none has no known sentence.
-ANCHORS = ("licens", "permission", "redistribut", "warrant", "copyright", "public domain", "software")
+#: Every known sentence, name and tag has one of these; a text with none has no match.
+ANCHORS = ("licens", "licenc", "permission", "redistribut", "warrant", "copyright", "public domain", "software", "gpl", "spdx", "cc0", "cc by", "cc-by", "creative", "apache", "under mit", "under the mit", "bsd", "epl-", "mpl", "mozilla", "terms")
+
+WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+SPDX = re.compile(r"(?i)spdx-license-identifier[ \t]*:[ \t]*([^\n\r]*)")
+SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
+#: Up to so many words stand for <*>.
+OPEN = 12
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -99,69 +167,117 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def normalised(sentence: str) -> str:
     """Lower case; words of letters, digits and inner . or -, one space between."""
-    return " ".join(re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", sentence.lower()))
+    return " ".join(WORD.findall(sentence.lower()))
 
 
 class Recogniser:
-    def __init__(self, known: dict[str, str], rules: tuple[tuple[str, str], ...], max_gap: int, join_lines: int) -> None:
-        self.exact = {s: name for name, s in known.items() if "<*>" not in s}
-        self.open = [(name, re.compile(re.escape(s).replace(re.escape("<*>"), r"\S+(?: \S+){0,11}"))) for name, s in known.items() if "<*>" in s]
-        self.starts = {" ".join(s.split()[:2]) for s in known.values()}
-        self.rules = [(licence, [(x.rstrip("?"), x.endswith("?")) for x in sequence.split()]) for licence, sequence in rules]
-        self.max_gap, self.join_lines = max_gap, join_lines
-        self.longest = max(len(s) for s in known.values()) + 200
-        if lone := [n for n, x in known.items() if not any(a in x for a in ANCHORS)]:
-            raise ValueError(f"sentences without an anchor: {lone}")
-
-    def sentence_id(self, text: str) -> str | None:
-        if text in self.exact:
-            return self.exact[text]
-        return next((name for name, p in self.open if p.fullmatch(text)), None)
-
-    def scan(self, text: str) -> tuple[int, list[tuple[int, str]]]:
-        """The number of sentences, and (number, identifier) of the known ones. A
-        sentence that breaks over lines is tried with the next ones joined on."""
-        places = sentences(text)
-        found, k = [], 0
-        while k < len(places):
-            start, end = places[k]
-            norm = normalised(text[start : min(end, start + 4 * self.longest)]) if end - start <= 4 * self.longest else ""
-            name, step = None, 1
-            if " ".join(norm.split(" ", 2)[:2]) in self.starts:
-                joined = norm
-                for more in range(self.join_lines):
-                    if more:
-                        if k + more >= len(places) or len(joined) > self.longest:
-                            break
-                        joined += " " + normalised(text[slice(*places[k + more])][: self.longest])
-                    if hit := self.sentence_id(joined):
-                        name, step = hit, more + 1
-            if name:
-                found.append((k, name))
-            k += step
-        return len(places), found
-
-    def match(self, found: list[tuple[int, str]]) -> list[tuple[str, int, int]]:
+    """Finds known sentences, notices and tags in a text's normalised words, wherever
+    they begin and however its lines break, and matches their identifiers with rules."""
+
+    def __init__(self, known: dict[str, str], rules: tuple[tuple[str, str], ...], max_gap: int, names: dict[str, tuple[str, ...]]) -> None:
+        self.known: dict[tuple[str, str], list[tuple[tuple[str, ...], str]]] = {}
+        for name, s in known.items():
+            words = tuple(s.split())
+            self.known.setdefault(words[:2], []).append((words, name))
+        for same in self.known.values():
+            same.sort(key=lambda x: (-len(x[0]), x[1]))
+        self.names: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        for licence, forms in names.items():
+            for form in forms:
+                words = tuple(form.split())
+                self.names.setdefault(words[0], []).append((words, licence))
+        for same in self.names.values():
+            same.sort(key=lambda x: (-len(x[0]), x[1]))
+        every = [(licence, sequence.split()) for licence, sequence in rules] + [(licence, [f"Notice:{licence}"]) for licence in names]
+        self.rules = [(licence, [(x.rstrip("?"), x.endswith("?")) for x in sequence]) for licence, sequence in every]
+        self.max_gap = max_gap
+        forms = [s for s in known.values()] + ["under " + f for fs in names.values() for f in fs]
+        self.reach = max(len(s.split()) + OPEN * s.count("<*>") for s in forms) + 16
+        if lone := [s for s in forms if not any(a in s for a in ANCHORS)]:
+            raise ValueError(f"without an anchor: {lone}")
+
+    @staticmethod
+    def _fits(words: list[str], at: int, form: tuple[str, ...]) -> int | None:
+        """Where the form that begins at ``at`` ends, or None."""
+        for k, x in enumerate(form):
+            if x == "<*>":
+                ends = (Recogniser._fits(words, at + n, form[k + 1 :]) for n in range(1, OPEN + 1))
+                return next((e for e in ends if e is not None), None)
+            if at >= len(words) or words[at] != x:
+                return None
+            at += 1
+        return at
+
+    def at(self, words: list[str], i: int) -> tuple[int, str] | None:
+        """(end, identifier) of the longest known sentence or notice that begins at word i."""
+        for form, name in self.known.get(tuple(words[i : i + 2]), ()):
+            if (end := self._fits(words, i, form)) is not None:
+                return end, name
+        if words[i] in NOTICE_VERBS and words[i + 1 : i + 2] == ["under"]:
+            j = i + 2
+            while j < min(len(words), i + 8) and words[j] in NOTICE_FILL:
+                j += 1
+            for form, licence in self.names.get(words[j], ()) if j < len(words) else ():
+                if (end := self._fits(words, j, form)) is not None:
+                    return end, f"Notice:{licence}"
+        return None
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int, str]]]:
+        """The number of sentences, and (first, last, identifier) of the known ones by
+        the sentence numbers of their first and last word. The words pass in pieces."""
+        places = [s for s, _ in sentences(text)]
+        found: list[tuple[int, int, int, str]] = []
+        words: list[str] = []
+        starts: list[int] = []
+        source = WORD.finditer(text)
+        free = 0
+        done = False
+        while not done or words:
+            for m in itertools.islice(source, 1 << 16):
+                words.append(m[0].lower())
+                starts.append(m.start())
+            done = done or len(words) < self.reach + (1 << 16)
+            i, stop = free, len(words) if done else len(words) - self.reach
+            while i < stop:
+                if hit := self.at(words, i):
+                    end, name = hit
+                    found.append((starts[i], starts[end - 1], 0, name))
+                    i = end
+                else:
+                    i += 1
+            free = max(0, i - stop)
+            del words[:stop], starts[:stop]
+        for m in SPDX.finditer(text):
+            found += [(m.start(), m.start(), k + 1, f"Spdx:{x}") for k, x in enumerate(x for x in SPDX_ID.findall(m[1]) if x.upper() not in ("AND", "OR", "WITH"))]
+        numbered = [(bisect.bisect_right(places, a) - 1, bisect.bisect_right(places, b) - 1, name) for a, b, _, name in sorted(found)]
+        return len(places), numbered
+
+    def match(self, found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
         """(licence, first sentence, last) by the rules in their order; a sentence
         serves one rule at most. Between two of a rule's sentences at most
-        ``max_gap`` unknown ones may stand."""
-        free = [True] * len(found)
-        out = []
+        ``max_gap`` unknown ones may stand. Tags name their licence themselves."""
+        used_up = [False] * len(found)
+        out = [(name[5:], a, b) for a, b, name in found if name.startswith("Spdx:")]
+        by_name: dict[str, list[int]] = {}
+        for k, (_, _, name) in enumerate(found):
+            by_name.setdefault(name, []).append(k)
         for licence, sequence in self.rules:
-            for i in range(len(found)):
-                used, at = [], i
+            lead = [k for k, (_, optional) in enumerate(sequence) if not optional][0]
+            begins = sorted({i for name, _ in sequence[: lead + 1] for i in by_name.get(name, ())})
+            for i in begins:
+                used: list[int] = []
+                at = i
                 for name, optional in sequence:
-                    j = at
-                    if j < len(found) and free[j] and found[j][1] == name and (not used or found[j][0] - found[used[-1]][0] - 1 <= self.max_gap):
-                        used.append(j)
-                        at = j + 1
+                    if at < len(found) and not used_up[at] and found[at][2] == name and (not used or found[at][0] - found[used[-1]][1] - 1 <= self.max_gap):
+                        used.append(at)
+                        at += 1
                     elif not optional:
                         used = []
                         break
                 if used:
                     for j in used:
-                        free[j] = False
-                    out.append((licence, found[used[0]][0], found[used[-1]][0]))
+                        used_up[j] = True
+                    out.append((licence, found[used[0]][0], found[used[-1]][1]))
         return sorted(out, key=lambda x: (x[1], x[2]))
 
 
@@ -169,7 +285,7 @@ def _scan(recogniser: Recogniser) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1)), strict=True):
                 text = text or ""
                 low = text.lower()
                 if any(a in low for a in ANCHORS):
@@ -177,7 +293,7 @@ def _scan(recogniser: Recogniser) -> Callable:
                     matches = recogniser.match(found)
                 else:
                     n, found, matches = len(sentences(text)), [], []
-                rows.append((doc, n, ",".join(x for _, x in found), ",".join(dict.fromkeys(x for x, _, _ in matches)), ",".join(f"{x}:{i}:{j}" for x, i, j in matches)))
+                rows.append((doc, n, ",".join(x for _, _, x in found), ",".join(dict.fromkeys(x for x, _, _ in matches)), ",".join(f"{x}:{i}:{j}" for x, i, j in matches)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcde"])
@@ -187,16 +303,26 @@ def _scan(recogniser: Recogniser) -> Callable:
 
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None,
-    rules: tuple[tuple[str, str], ...] | None = None, max_gap: int = 2, join_lines: int = 12,
+    rules: tuple[tuple[str, str], ...] | None = None, max_gap: int = 2, names: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_sentences, sentence_ids (in order), licenses
     (distinct, in order), matches (licence:first:last sentence numbers).
 
-    Null and empty texts have no sentences and empty strings. Rows are independent:
-    no shuffle. Texts without an anchor word only have their sentences counted,
-    since every known sentence has one. The tables are of fixed size.
+    Sentences are lines, cut behind a sign that ends one. The known sentences are
+    looked for in the text's normalised words, so it does not matter how lines break,
+    what marks a comment, or what stands before and after in the same sentence. Of
+    sentences that begin at the same word the longest counts; the next is sought behind
+    it. Notices (``released under the ... License``) and SPDX tags have identifiers of
+    their own. Then the identifiers are matched with the rules, in the rules' order.
+
+    Null and empty texts have no sentences and empty strings. Texts of any length are
+    scanned whole, in pieces of words. Rows are independent, so repeats get the same
+    values and there is no shuffle; an empty table gives no rows; other columns are
+    ignored, whatever their names. Texts without an anchor word only have their sentences
+    counted, since every known sentence has one. The tables are of fixed size.
     """
-    recogniser = Recogniser(known or SENTENCES, rules or RULES, max_gap, join_lines)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
+    bound_batches(docs.sparkSession)
+    recogniser = Recogniser(known or SENTENCES, rules or RULES, max_gap, NAMES if names is None else names)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         _scan(recogniser), f"{id_col} long, n_sentences long, sentence_ids string, licenses string, matches string"
     )

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PRUNE_TEXTS, SpanHasher, mix64, settings, shingle_set, staged, texts, white_space
+from .common import PRUNE_TEXTS, SpanHasher, bound_batches, discard, mix64, settings, shingle_set, staged, values_of, white_space
 from .components import connected_components
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
+SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary, members binary"
 
 
 def _minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -36,174 +35,111 @@ def _sketcher(k: int, bands: int, rows: int) -> Callable:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         hasher, space = SpanHasher(fold=True), white_space()
         for batch in batches:
-            ids, sizes, keys, band_keys, sketches = batch.column(0).to_pylist(), [], [], [], []
-            for text in texts(batch.column(1)):
+            sizes, keys, band_keys, sketches, sets = [], [], [], [], []
+            for text in values_of(batch.column(1)):
                 values = shingle_set(text, k, hasher, space)
                 sizes.append(len(values))
                 if len(values) == 0:
                     keys.append(None)
                     band_keys.append([])
                     sketches.append(None)
+                    sets.append(None)
                     continue
-                keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                raw = values.tobytes()
+                keys.append(hashlib.blake2b(raw, digest_size=16).digest())
                 low = _minima(values, a, b)
                 folded = salt.copy()
                 for j in range(rows):
                     folded = mix64(folded * np.uint64(0x9E3779B97F4A7C15) + low[j::rows])
                 band_keys.append(folded.view(np.int64))
                 sketches.append((mix64(low) >> np.uint64(56)).astype(np.uint8).tobytes())
+                sets.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch", "members"],
             )
 
     return run
 
 
-def spanning_pairs(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, cut: float, sure: float, best: int) -> list[tuple[int, int]]:
-    """Candidate links of one bucket, linear in its size.
+def spanning_pairs(ids: np.ndarray, sketches: np.ndarray, cut: float, sure: float, best: int) -> list[tuple[int, int]]:
+    """Proposed links of one block, linear in its size.
 
-    Grows a maximum spanning tree over the estimated similarities (Prim), with
-    members of one known component (roots) as already joined. A member joins by
-    its closest partner in the tree; unless that one is surely similar, its next
-    ones at or above the cut come along, ``best`` in all. For exact similarities
-    such a tree has the same components as all links together.
+    Grows a maximum spanning tree over the estimated similarities (Prim). A member
+    joins by its closest partner in the tree; unless that one is surely similar,
+    its next ones at or above the cut come along, ``best`` in all. For exact
+    similarities such a tree has the same components as all links together.
     """
     n = len(ids)
     if n == 2:
-        if roots[0] == roots[1] or (sketches[0] == sketches[1]).mean() < cut:
-            return []
-        return [(int(ids[0]), int(ids[1]))]
+        return [(int(ids[0]), int(ids[1]))] if (sketches[0] == sketches[1]).mean() >= cut else []
     out: list[tuple[int, int]] = []
     near = np.full((best, n), -1.0, dtype=np.float32)
     who = np.zeros((best, n), dtype=np.int64)
     left = np.ones(n, dtype=bool)
     width = sketches.shape[1]
-    mates: dict[int, list[int]] = {}
-    for i, r in enumerate(roots.tolist()):
-        mates.setdefault(r, []).append(i)
-    if len(mates) < 2:
-        return []
-    remaining = n
-    while remaining:
+    for _ in range(n):
         top = int(np.argmax(np.where(left, near[0], -2.0)))
         for slot in range(best):
             if near[slot, top] < cut or (slot and near[0, top] >= sure):
                 break
             out.append((int(ids[top]), int(ids[who[slot, top]])))
-        for i in mates[int(roots[top])]:
-            left[i] = False
-            remaining -= 1
-            if not remaining:
+        left[top] = False
+        rest = np.flatnonzero(left)
+        like = (sketches[rest] == sketches[top]).sum(axis=1, dtype=np.int32).astype(np.float32) / width
+        whom = np.full(len(rest), top, dtype=np.int64)
+        for slot in range(best):
+            old, old_who = near[slot, rest], who[slot, rest]
+            take = like > old
+            near[slot, rest], who[slot, rest] = np.where(take, like, old), np.where(take, whom, old_who)
+            like, whom = np.where(take, old, like), np.where(take, old_who, whom)
+            if not (like >= 0).any():
                 break
-            rest = np.flatnonzero(left & (roots != roots[top]))
-            if not len(rest):
-                continue
-            like = (sketches[rest] == sketches[i]).sum(axis=1, dtype=np.int32).astype(np.float32) / width
-            whom = np.full(len(rest), i, dtype=np.int64)
-            for slot in range(best):
-                old, old_who = near[slot, rest], who[slot, rest]
-                take = like > old
-                near[slot, rest], who[slot, rest] = np.where(take, like, old), np.where(take, whom, old_who)
-                like, whom = np.where(take, old, like), np.where(take, old_who, whom)
-                if not (like >= 0).any():
-                    break
     return out
 
 
-def crossing_pairs(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, cut: float, best: int, large: int = 32) -> list[tuple[int, int]]:
-    """Candidate links between the known components (roots) of one bucket.
-
-    Every member outside the largest component proposes its ``best`` partners in
-    other components, and twice as many among components of ``large`` members or
-    more here, where one link among many decides.
-    """
-    names, which, sizes = np.unique(roots, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return []
-    in_large = sizes[which] >= large
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(which != sizes.argmax()).tolist():
-        like = (sketches == sketches[i]).mean(axis=1)
-        for mask, most in ((~in_large, best), (in_large, 2 * best)):
-            near = np.flatnonzero(mask & (like >= cut) & (which != which[i]))
-            near = near[np.lexsort((ids[near], -like[near]))[:most]]
-            out += [(int(ids[i]), int(ids[j])) for j in near]
-    return out
+def _batch_of_pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], ["a", "b"])
 
 
-def _pairs_of_blocks(cut: float, sure: float, turn: int) -> Callable:
+def _pairs_of_blocks(cut: float, sure: float, best: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        held: list[tuple] = []
+        ids: list[int] = []
+        sketches: list[bytes] = []
         last = None
-        found: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if len(held) > 1:
-                ids = np.array([h[0] for h in held], dtype=np.int64)
-                roots = np.array([h[1] for h in held], dtype=np.int64)
-                sketches = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint8).reshape(len(held), -1)
-                for x, y in spanning_pairs(ids, roots, sketches, cut, sure, 3) if turn == 0 else crossing_pairs(ids, roots, sketches, cut, 2 * 2**turn):
-                    pair = (max(x, y), min(x, y))
-                    if pair not in seen:
-                        seen.add(pair)
-                        found.append(pair)
-            held.clear()
-
-        def flush() -> pa.RecordBatch:
-            if len(seen) > 500_000:
-                seen.clear()
-            out = pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
-            found.clear()
-            return out
+
+        def close() -> pa.RecordBatch:
+            found = []
+            if len(ids) > 1:
+                found = spanning_pairs(np.array(ids, dtype=np.int64), np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(ids), -1), cut, sure, best)
+            ids.clear()
+            sketches.clear()
+            return _batch_of_pairs(found)
 
         for batch in batches:
-            for bucket, block, i, root, sketch in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+            for bucket, block, i, sketch in zip(*(batch.column(j).to_pylist() for j in range(3)), values_of(batch.column(3)), strict=True):
                 if (bucket, block) != last:
-                    close()
+                    yield close()
                     last = (bucket, block)
-                held.append((i, root, sketch))
-            yield flush()
-        close()
-        yield flush()
+                ids.append(i)
+                sketches.append(sketch)
+        yield close()
 
     return run
 
 
-def _verifier(k: int, percent: int) -> Callable:
+def _verifier(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, space = SpanHasher(fold=True), white_space()
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(key: int, text: str | None) -> np.ndarray:
-            if key not in recent:
-                recent[key] = shingle_set(text, k, hasher, space)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return recent[key]
-
         for batch in batches:
-            a, b = (batch.column(j).to_pylist() for j in range(2))
             keep = []
-            for i, (text_a, text_b) in enumerate(zip(texts(batch.column(2)), texts(batch.column(3)), strict=True)):
-                x, y = of(a[i], text_a), of(b[i], text_b)
+            for pair in zip(*(values_of(batch.column(j)) for j in range(4)), strict=True):
+                x, y = (np.frombuffer(v, dtype=np.uint64) for v in pair[2:])
                 if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
                     continue
                 shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 if 100 * shared >= percent * (len(x) + len(y) - shared) and shared:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _sets(k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, space = SpanHasher(fold=True), white_space()
-        for batch in batches:
-            values = [shingle_set(text, k, hasher, space).tobytes() for text in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "values"])
+                    keep.append(pair[:2])
+            yield _batch_of_pairs(keep)
 
     return run
 
@@ -239,7 +175,7 @@ def linking_pairs(left: list[tuple], right: list[tuple], percent: int) -> list[t
     return out
 
 
-def _links_of_blocks(percent: int) -> Callable:
+def _links_of_tasks(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: tuple[list, list] = ([], [])
         last = None
@@ -248,49 +184,98 @@ def _links_of_blocks(percent: int) -> Callable:
             found = linking_pairs(*sides, percent) if all(sides) else []
             for side in sides:
                 side.clear()
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+            return _batch_of_pairs(found)
 
         for batch in batches:
-            columns = [batch.column(j).to_pylist() for j in range(6)]
-            for *task, side, i, root, values in zip(*columns, texts(batch.column(6)), strict=True):
-                if task != last:
+            for group, p, q, left, right, i, root, values in zip(*(batch.column(j).to_pylist() for j in range(7)), values_of(batch.column(7)), strict=True):
+                if (group, p, q) != last:
                     yield close()
-                    last = task
-                sides[side].append((i, root, np.frombuffer(values, dtype=np.uint64)))
+                    last = (group, p, q)
+                member = (i, root, np.frombuffer(values, dtype=np.uint64))
+                if left:
+                    sides[0].append(member)
+                if right:
+                    sides[1].append(member)
         yield close()
 
     return run
 
 
-def _rest(members: DataFrame, roots: DataFrame, whole: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """The links left in all buckets, exactly: who is outside the largest component
-    of a bucket meets every member of it in tasks of two blocks, with full sets."""
-    at = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_ = (
-        counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        .select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("n") / block).alias("es"), F.ceil((F.col("n") - F.col("top.c")) / block).alias("os"))
-    )
-    at = staged(at.join(open_, "bucket"), "minhash-open")
-    number = F.xxhash64("doc_id", "bucket")
-    every = at.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("os") - 1)).alias("o"), F.pmod(number, "es").alias("e"), F.lit(1).alias("side"), "doc_id", "root")
-    outside = at.filter("root <> main").select(
-        "bucket", F.pmod(number, "os").alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("es") - 1)).alias("e"), F.lit(0).alias("side"), "doc_id", "root"
-    )
-    with settings(whole.sparkSession, PRUNE_TEXTS):
-        sets = staged(
-            whole.join(at.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, values binary")
-            .groupBy("doc_id").agg(F.first("values").alias("values")),
-            "minhash-sets",
-        )
+def _compared(tasks: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links within tasks(grp, p, q, left, right, doc_id, root), by full sets."""
+    with settings(sets.sparkSession, PRUNE_TEXTS):
         return staged(
-            outside.unionByName(every).join(sets, "doc_id").select("bucket", "o", "e", "side", "doc_id", "root", "values")
-            .repartition("bucket", "o", "e").sortWithinPartitions("bucket", "o", "e", "side")
-            .mapInArrow(_links_of_blocks(percent), "a long, b long").distinct(),
-            "minhash-rest",
+            tasks.join(sets, "doc_id").select("grp", "p", "q", "left", "right", "doc_id", "root", "members")
+            .repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+            .mapInArrow(_links_of_tasks(percent), "a long, b long").distinct(),
+            label,
         )
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    at = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return at.withColumn("root", F.coalesce("root", "doc_id"))
+
+
+def _blocks_of(rows: DataFrame, key: str, block: int, weight: int) -> DataFrame:
+    """rows with the number of blocks of their key (n_blocks), each of about
+    ``block`` rows and ``weight`` shingles at most, and their own (at)."""
+    n = rows.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / weight)).cast("long").alias("n_blocks"))
+    return rows.join(n, key).withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(1)), "n_blocks"))
+
+
+def _unlinked(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members outside the largest component (main) of their bucket."""
+    at = _rooted(members, roots)
+    counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = (
+        counts.groupBy("bucket").agg(F.max(F.struct("c", F.bitwise_not("root").alias("r"))).alias("top"), F.count(F.lit(1)).alias("k"))
+        .filter("k > 1").select("bucket", F.bitwise_not("top.r").alias("main"))
+    )
+    return at.join(main, "bucket")
+
+
+def _with_main(open_: DataFrame, block: int, weight: int) -> DataFrame:
+    """Tasks in which every member outside the main component of a bucket meets all
+    members that the main component has in such buckets. A component is met once,
+    whatever the number of buckets it is in."""
+    outside = _blocks_of(open_.filter("root <> main").select("main", "doc_id", "root", "n_shingles").distinct(), "main", block, weight)
+    inside = _blocks_of(open_.filter("root = main").select("main", "doc_id", "root", "n_shingles").distinct(), "main", block, weight)
+    n_left = outside.select("main", F.col("n_blocks").alias("n")).distinct()
+    n_right = inside.select("main", F.col("n_blocks").alias("n")).distinct()
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = outside.join(n_right, "main").select(F.col("main").alias("grp"), F.col("at").alias("p"), every("n").alias("q"), F.lit(True).alias("left"), F.lit(False).alias("right"), "doc_id", "root")
+    right = inside.join(n_left, "main").select(F.col("main").alias("grp"), every("n").alias("p"), F.col("at").alias("q"), F.lit(False).alias("left"), F.lit(True).alias("right"), "doc_id", "root")
+    return left.unionByName(right)
+
+
+def _among_outside(outside: DataFrame, roots: DataFrame, block: int, weight: int) -> DataFrame:
+    """Tasks in which the members outside the main component of a bucket meet each
+    other, where these are still of several components. Buckets with the same
+    members are one."""
+    at = _rooted(outside.select("bucket", "doc_id", "n_shingles"), roots)
+    several = (
+        at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("print"))
+        .filter("lo < hi").groupBy("n", "print", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket")
+    )
+    rows = _blocks_of(at.join(several, "bucket"), "bucket", block, weight)
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    return other.select(
+        F.col("bucket").alias("grp"), F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"),
+        (F.col("at") <= F.col("other")).alias("left"), (F.col("at") >= F.col("other")).alias("right"), "doc_id", "root",
+    )
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links."""
+    if links.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -300,9 +285,9 @@ def near_duplicates(
     bands: int = 30,
     rows: int = 5,
     first_bands: int = 8,
-    block: int = 1024,
-    pivots: int = 64,
-    rounds: int = 3,
+    block: int = 512,
+    pivots: int = 32,
+    block_shingles: int = 1 << 20,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id, kept.
 
@@ -311,41 +296,47 @@ def near_duplicates(
     documents are linked when 100*|A & B| >= percent*|A | B|; component_id is the
     smallest id reachable by links, class_id the smallest id with an equal set.
 
-    1. Each text is read once: set size, a 128-bit digest of the set, bands*rows
+    1. Each text is read once: its set, a 128-bit digest of the set, bands*rows
        universal hash minima folded into band keys, and a one-byte sketch of each
-       minimum. The table is written to shared storage.
+       minimum. The table is written to shared storage, and the texts are not
+       read again.
     2. Documents with equal sets collapse to their smallest id.
     3. Band keys with two different sets or more are buckets. Buckets with the
-       same members are one. For the proposals of 4, a bucket larger than ``block``
-       is split by hash into blocks which all see the same ``pivots`` members, anew
-       for each bucket.
-    4. In a block, a maximum spanning tree over sketch similarities proposes
-       pairs, a few for each member instead of all pairs. What this leaves out (by
-       the number of partners, the blocks or the sketches) is left to 7.
-    5. Proposed pairs are confirmed on the full sets of their whole texts.
-    6. Components by large-star and small-star. The ``rounds`` share the bands out:
-       the first takes ``first_bands`` of them; in each of the next those buckets
-       propose whose members are still in different components, with more
-       partners for each member every time.
-    7. The rest is exact: in every bucket, of whatever band, that still has several
-       components, each member outside the largest one is compared by full sets
-       with all members of other components, in tasks of two blocks of ``block / 4``
-       members. So every linked pair that shares a bucket is in one component; with
-       150 minima in 30 bands, a pair at the limit shares none in one case of 150,000.
+       same members are one.
+    4. Proposals: in the buckets of the ``first_bands`` first bands a maximum spanning
+       tree over sketch similarities proposes pairs, a few for each member. A
+       bucket larger than ``block`` is split by hash into blocks which all see the
+       same ``pivots`` members. The full sets confirm, and components are found by
+       alternating large-star and small-star. This is linear in the members and
+       only saves work: what it leaves out is found next.
+    5. The rest is exact. In every bucket, of whatever band, that still has several
+       components, each member outside the largest one meets all members of the
+       largest, and then all others outside that are not yet in its component. They
+       meet in tasks of two blocks (``block`` members and ``block_shingles`` shingles
+       each, about), which compare full sets and give back only links that join two
+       components. So any linked pair that shares a bucket is in one component, with
+       no bound on partners, sketches or bucket size. The cost is the members
+       outside times the members: small where proposals have done their work, and
+       quadratic for a crowd of look-alikes below the limit.
+
+    With 150 minima in 30 bands, a pair at exactly the limit shares no bucket in
+    one case of 150,000, at five points above it in one of 10 million.
 
     Null or empty text and text of white space alone has the empty set, and is
-    linked with nothing. A row with a null id is its own component (null) and is
-    kept. Rows that repeat an id with the same text get the same values.
-    Other columns are ignored.
+    linked with nothing. A very long text is read whole. A row with a null id is its
+    own component (null) and is kept. Rows that repeat an id with the same text get
+    the same values; an id with several texts is one node with the links of all. An
+    empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = staged(whole.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bound_batches(spark)
+    sketch = staged(whole.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash", compression="none")
     known = sketch.filter("set_key is not null and doc_id is not null")
     digest = F.xxhash64("set_key")
     classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("print", digest), "minhash-classes")
-    # All bands of all documents pass two shuffles, as three numbers a row; keys
-    # and sketches join those that share a bucket.
+    # All bands of all documents pass two shuffles, as three numbers a row; keys,
+    # sketches and sets join those that share a bucket.
     buckets = staged(
         known.select(digest.alias("print"), F.explode("bands").alias("bucket"))
         .groupBy("bucket").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo < hi").select("bucket"),
@@ -360,69 +351,53 @@ def near_duplicates(
             .select("bucket", "band", "doc_id"),
             "minhash-found",
         )
-    # the rounds share the bands out: each round has buckets of its own
-    per_round = -(-max(1, bands - first_bands) // max(1, rounds - 1))
-    turn_of = F.when(F.col("band") < first_bands, 0).otherwise(F.least(F.lit(rounds - 1), 1 + F.floor((F.col("band") - first_bands) / per_round))).cast("int")
-    distinct = (
-        found.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.min(turn_of).alias("turn")
-        )
-        .groupBy("n", "least", "print", "turn").agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "n", "turn")
+        distinct = staged(
+            found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.min("band").alias("band"))
+            .filter("n > 1")
+            .groupBy("n", "least", "print").agg(F.min(F.struct("band", "bucket")).alias("first"))
+            .select("first.bucket", "first.band", "n"),
+            "minhash-distinct",
+        )
+        placed = staged(found.drop("band").join(distinct, "bucket"), "minhash-placed")
+        heads = classes.select("set_key", F.col("class_id").alias("doc_id")).join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+        sets = staged(
+            known.select("doc_id", "set_key", "n_shingles", "sketch", "members").join(heads, ["doc_id", "set_key"], "left_semi")
+            .withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "set_key").orderBy("n_shingles"))).filter("nth = 1").drop("nth", "set_key"),
+            "minhash-sets", compression="none",
+        )
+        members = staged(placed.join(sets.drop("members"), "doc_id"), "minhash-members")
+
+    parts = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    pivot = F.pmod(F.xxhash64("bucket", "doc_id"), F.col("n")) < pivots
+    blocks = members.filter(F.col("band") < first_bands).select(
+        "bucket",
+        F.explode(
+            F.when((parts > 1) & pivot, F.sequence(F.lit(0).cast("long"), parts - 1))
+            .otherwise(F.array(F.pmod(F.xxhash64("doc_id", "bucket"), parts)))
+        ).alias("block"),
+        "doc_id", "sketch",
     )
-    placed = staged(found.join(distinct, "bucket"), "minhash-placed")
-    heads = classes.select("set_key", F.col("class_id").alias("doc_id"))
     with settings(spark, PRUNE_TEXTS):
-        wanted = placed.filter("n > 1").select("doc_id")
-        sketches = known.select("doc_id", "set_key", "sketch").join(wanted, "doc_id", "left_semi").join(heads, ["doc_id", "set_key"], "left_semi")
-        members = staged(
-            placed.join(sketches.groupBy("doc_id").agg(F.first("sketch").alias("sketch")), "doc_id").select("bucket", "turn", "doc_id", "sketch", "n"), "minhash-members"
-        )
-
-    edges: DataFrame | None = None
-    tried: DataFrame | None = None
-    roots: DataFrame | None = None
-    for turn in range(rounds):
-        at = members.filter(F.col("turn") == turn)
-        if roots is not None:
-            at = at.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-            at = at.join(open_, "bucket", "left_semi")
-        else:
-            at = at.withColumn("root", F.col("doc_id"))
-        parts = F.ceil(F.col("n") / F.lit(block)).cast("long")
-        pivot = F.pmod(F.xxhash64(F.lit(turn), "bucket", "doc_id"), F.col("n")) < pivots
-        blocks = at.select(
-            "bucket",
-            F.explode(
-                F.when((parts > 1) & pivot, F.sequence(F.lit(0), parts - 1))
-                .otherwise(F.array(F.pmod(F.xxhash64("doc_id", "bucket", F.lit(turn)), parts)))
-            ).alias("block"),
-            "doc_id", "root", "sketch",
-        )
-        proposed = (
+        pairs = staged(
             blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "doc_id")
-            .mapInArrow(_pairs_of_blocks(percent / 100 - 0.11, percent / 100 + 0.12, turn), "a long, b long").distinct()
+            .mapInArrow(_pairs_of_blocks(percent / 100 - 0.11, percent / 100 + 0.12, 2), "a long, b long").distinct(),
+            "minhash-pairs",
         )
-        if tried is not None:
-            proposed = proposed.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(proposed, "minhash-pairs")
-        if turn and pairs.isEmpty():
-            continue
-        with settings(spark, PRUNE_TEXTS):
-            first = whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-            second = whole.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-            links = staged(
-                pairs.filter("a >= b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-                .mapInArrow(_verifier(shingle_words, percent), "a long, b long").distinct(),
-                "minhash-links",
-            )
-        edges = links if edges is None else edges.unionByName(links)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = connected_components(edges)
-    rest = _rest(members, roots, whole, shingle_words, percent, max(1, block // 4))
-    if not rest.isEmpty():
-        roots = connected_components(edges.unionByName(rest))
+        first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
+        second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
+        links = staged(
+            pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long").distinct(),
+            "minhash-links",
+        )
+    roots = connected_components(links)
+    own = sets.select("doc_id", "members")
+    open_ = staged(_unlinked(members.select("bucket", "doc_id", "n_shingles"), roots), "minhash-open")
+    if not open_.isEmpty():
+        more = _compared(_with_main(open_, block, block_shingles), own, percent, "minhash-main")
+        roots = _joined(roots, more)
+        more = _compared(_among_outside(open_.filter("root <> main"), roots, block, block_shingles), own, percent, "minhash-outside")
+        roots = _joined(roots, more)
+    discard(buckets, found, distinct, placed, sets, members, pairs, links, open_)
     out = (
         sketch.select("doc_id", "n_shingles", "set_key")
         .join(classes, "set_key", "left")

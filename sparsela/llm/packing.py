@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-from .encoding import ByteBpe, default_vocabulary, in_groups
+from .common import bound_batches, staged, values_of
+from .encoding import ByteBpe, default_vocabulary
 
 
 class Run:
@@ -117,21 +117,19 @@ def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool) -> Callabl
         seen: dict[int, int] = {}
         mark = np.array([end], dtype="<u4")
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_groups(texts):
-                rows = []
-                for doc, ids in zip(doc_ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
-                    flat = np.concatenate((ids, mark))
-                    first = len(flat) % capacity or capacity
-                    edges = [0, *range(first, len(flat) + 1, capacity)]
-                    for piece, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-                        nth = seen.get(y - x, 0)
-                        seen[y - x] = nth + 1
-                        raw = flat[x:y].tobytes()
-                        rows.append((doc, piece, x, y - x, zlib.crc32(raw), part, nth, raw if with_ids else None))
-                columns = list(zip(*rows, strict=True)) or [[]] * 8
-                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefgh"])
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1)), strict=True):
+                flat = np.concatenate((encoder.one(text), mark))
+                first = len(flat) % capacity or capacity
+                edges = [0, *range(first, len(flat) + 1, capacity)]
+                for piece, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+                    nth = seen.get(y - x, 0)
+                    seen[y - x] = nth + 1
+                    raw = flat[x:y].tobytes()
+                    rows.append((doc, piece, x, y - x, zlib.crc32(raw), part, nth, raw if with_ids else None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefgh"])
 
     return run
 
@@ -163,10 +161,11 @@ def best_fit_pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset, and with_ids the little-endian 32-bit ids themselves.
 
-    A document is its byte-level BPE ids and the id ``end``; null text is empty,
-    so it is one piece of one id. Only documents above the capacity are cut, into
-    pieces of the capacity but for the first. Rows that repeat are packed each for
-    itself; null ids are carried along.
+    A document is its byte-level BPE ids (special tokens' strings are these tokens) and
+    the id ``end``; null and empty text is one piece of one id. Only documents above the
+    capacity, however long, are cut: into pieces of the capacity but for the first. Rows
+    that repeat are packed each for itself; null ids are carried along. An empty table
+    gives no rows. Other columns are ignored, whatever their names.
 
     The texts are encoded once and the pieces written to shared storage, each with
     its task and its number among that task's pieces of equal length. The number
@@ -177,7 +176,8 @@ def best_fit_pack(
     finds the run, the sequence and the offset. Nothing is sorted or collected by
     document, and the hot length (the capacity itself) needs no single task.
     """
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
+    bound_batches(docs.sparkSession)
+    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         _pieces(vocabulary or default_vocabulary(), capacity, end, with_ids),
         "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary",
     )

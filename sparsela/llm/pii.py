@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bound_batches, values_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -35,15 +35,19 @@ LOOKALIKES = {
 INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-_DIGIT = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-#: Three spelled digits or more in a row; single digits and separators between them.
-SPELLED = re.compile(rf"(?i)(?<![^\W_]){_DIGIT}(?:[ \-]+(?:{_DIGIT}|[0-9]+)){{2,}}(?![^\W_])")
-SPELLED_WORD = re.compile(rf"(?i){_DIGIT}|[ \-]+")
+#: A spelled digit that is a word of its own or touches digits.
+SPELLED = re.compile(rf"(?i)(?<![^\W\d_])(?:{'|'.join(DIGIT_WORDS)})(?![^\W\d_])")
+#: What may stand between two digits of one number: white space and hyphens, which go
+#: where both are spelled, or a dot, which stays.
+BETWEEN = re.compile(r"(?i)[ \-]*+(?:\.| dot )?+")
 #: Marked words; white space around the marks goes with them.
 MARKED = re.compile(r"(?i)[\(\[\{<]\s*+(?:(at|@)|dot|punkt|point|punto|\.)\s*+[\)\]\}>]")
-#: Bare words need the whole shape of an address.
+#: Bare words need the whole shape of an address: a name, at or @, labels, one of the
+#: two signs at least a word.
+AT_SIGN = re.compile("(?i) at |@")
 DOT_WORD = re.compile("(?i) dot ")
-BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*?( at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*((?: dot [A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+LABELS = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?:\.| dot )[A-Za-z0-9-]++)++")
+NUMBERS = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\.| dot )[0-9]++){3}")
 
 
 def luhn(digits: str) -> bool:
@@ -122,15 +126,28 @@ class Deobfuscator:
 
     @staticmethod
     def spelled(text: str) -> list[tuple[int, int, str]]:
-        """Runs of spelled digits, by their digits; the separators go."""
-        low = text.lower()
-        if sum(word in low for word in DIGIT_WORDS) == 0:
-            return []
-        return [
-            (w.start(), w.end(), DIGIT_WORDS.get(w[0].lower(), ""))
-            for m in SPELLED.finditer(text)
-            for w in SPELLED_WORD.finditer(text, m.start(), m.end())
-        ]
+        """Spelled digits next to other digits, spelled or not, by their digits; white
+        space and hyphens between two spelled ones go."""
+        out: list[tuple[int, int, str]] = []
+        hits = list(SPELLED.finditer(text))
+        for k, m in enumerate(hits):
+            start, end = m.span()
+            gap = BETWEEN.match(text, end).end()
+            joins = k + 1 < len(hits) and hits[k + 1].start() == gap
+            follows = k > 0 and BETWEEN.match(text, hits[k - 1].end()).end() == start
+            near = joins or follows or text[gap : gap + 1].isdigit()
+            if not near:
+                at = start
+                while at > 0 and text[at - 1] in " -":
+                    at -= 1
+                    if start - at > 8:
+                        break
+                near = at > 0 and (text[at - 1].isdigit() or (text[at - 1] == "." and text[max(0, at - 2)].isdigit()))
+            if near:
+                out.append((start, end, DIGIT_WORDS[m[0].lower()]))
+                if joins and gap > end and not text[end:gap].strip(" -"):
+                    out.append((end, gap, ""))
+        return out
 
     @staticmethod
     def marked(text: str) -> list[tuple[int, int, str]]:
@@ -149,15 +166,34 @@ class Deobfuscator:
 
     @staticmethod
     def bare(text: str) -> list[tuple[int, int, str]]:
-        """name at host dot domain."""
-        low = text.lower()
-        if " at " not in low or " dot " not in low:
+        """name at host dot domain, name@host dot domain, 10 dot 0 dot 0 dot 1. Found from
+        each sign on: a scan back ends at the sign before, one ahead at the next."""
+        if not DOT_WORD.search(text):
             return []
         out = []
-        for m in BARE.finditer(text):
-            out.append((*m.span(1), "@"))
-            out += [(*d.span(), ".") for lo, hi in ((m.start(), m.start(1)), m.span(2)) for d in DOT_WORD.finditer(text, lo, hi)]
-        return sorted(out)
+        for m in NUMBERS.finditer(text):
+            out += [(*d.span(), ".") for d in DOT_WORD.finditer(text, *m.span())]
+        done = 0
+        for sign in AT_SIGN.finditer(text):
+            start = sign.start()
+            while start > done:
+                if text[start - 1] in LOCAL:
+                    start -= 1
+                elif start - done >= 5 and start < sign.start() and text[start - 5 : start].lower() == " dot ":
+                    start -= 5
+                else:
+                    break
+            domain = LABELS.match(text, sign.end()) if start < sign.start() else None
+            if domain is None:
+                continue
+            words = list(DOT_WORD.finditer(text, *domain.span()))
+            name = list(DOT_WORD.finditer(text, start, sign.start()))
+            if words or (name and sign[0] == "@"):
+                out += [(*d.span(), ".") for d in (*name, *words)]
+                if sign[0] != "@":
+                    out.append((*sign.span(), "@"))
+                done = domain.end()
+        return sorted(set(out))
 
     @staticmethod
     def apply(text: str, new: list[tuple[int, int, str]], old: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -248,14 +284,14 @@ def _detect(with_text: bool) -> Callable:
         deobfuscator = Deobfuscator()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1)), strict=True):
                 base, added = find_spans(text or "", deobfuscator)
                 counts = [sum(x[2] == k for x in base) for k in range(len(KINDS))]
                 clean = redacted(text, base + added) if with_text and text is not None else None
-                rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + added), len(added), clean))
-            kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefghi"])
+                rows.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + added), len(added), len(base) + len(added), clean))
+            kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefghij"])
 
     return run
 
@@ -263,7 +299,7 @@ def _detect(with_text: bool) -> Callable:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone and base_sha256
     of the base spans; spans, all of them (kind:start:end in code points of the
-    source, comma-joined); n_added; with_text adds redacted_text.
+    source, comma-joined); n_added; n_spans; with_text adds redacted_text.
 
     Base spans are the leftmost matches of each kind that pass its check. Then
     the text is rewritten by transducers that keep their edits: characters that
@@ -272,31 +308,41 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     it covers a rewritten place and no base span of its kind.
 
     Null and empty texts have no spans; the redacted null stays null. Rows are
-    independent: no shuffle. Scans are linear in a text's length.
+    independent, so repeats get the same values and there is no shuffle; an empty table
+    gives no rows. Scans are linear in a text's length, and whole. Spans that start
+    together come in the order of the kinds. Other columns are ignored, whatever their
+    names.
     """
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
+    bound_batches(docs.sparkSession)
+    out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         _detect(with_text),
-        f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted_text string",
+        f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long, redacted_text string",
     )
     return out if with_text else out.drop("redacted_text")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs, columns and order of columns unchanged, with personal data replaced in
-    the text and its length adjusted where it changed."""
+    """docs, rows, columns and order of columns unchanged, with personal data replaced
+    in the text by its kind ([EMAIL]; of spans that overlap the first one's kind) and its
+    length adjusted where it changed. Nulls stay null; ids don't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deobfuscator = Deobfuscator()
         for batch in batches:
             t = batch.schema.get_field_index(text_col)
             n = batch.schema.get_field_index(length_col)
-            old = batch.column(t).to_pylist()
-            new = [x if x is None else redacted(x, sum(find_spans(x, deobfuscator), [])) for x in old]
+            new: list[str | None] = []
+            sizes = batch.column(n).to_pylist() if n >= 0 else []
+            for k, text in enumerate(values_of(batch.column(t))):
+                spans = [] if text is None else sum(find_spans(text, deobfuscator), [])
+                new.append(redacted(text, spans) if spans else text)
+                if spans and n >= 0:
+                    sizes[k] = len(new[-1])
             columns = list(batch.columns)
             columns[t] = pa.array(new, pa.string())
             if n >= 0:
-                sizes = [s if a == b else len(b) for s, a, b in zip(batch.column(n).to_pylist(), old, new, strict=True)]
                 columns[n] = pa.array(sizes, batch.column(n).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

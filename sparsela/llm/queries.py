@@ -13,7 +13,7 @@ from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import best_fit_pack
 from .pii import personal_data
-from .quality import quality_rules
+from .quality import corpus_bands, quality_rules
 from .sentencepieces import sentencepiece_encode
 from .token_counts import count_document_tokens
 from .warc import warc_round_trip
@@ -44,7 +44,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, bands=corpus_bands(spark, docs, sf_dir))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Shipped
-from .encoding import in_groups
+from .common import Shipped, bound_batches, values_of
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -137,7 +137,9 @@ class DoubleArray:
 class UnigramModel:
     """Arrays of a piece model, and its encoder and decoder."""
 
-    LONG, MOST = 96, 400_000
+    #: Bytes of a part up to which it is decoded in step with others and kept; bytes of
+    #: the parts kept at once.
+    LONG, MOST = 96, 16 << 20
 
     def __init__(self, pieces: list[tuple[str, float, int]]) -> None:
         normal = {p.encode(): i for i, (p, _, kind) in reversed(list(enumerate(pieces))) if kind in (NORMAL, USER) and p}
@@ -260,6 +262,7 @@ class UnigramModel:
         """Once per task, before use."""
         self.lists = tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value))
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def cut(self, text: str) -> list[str]:
         """The text behind its leading marker, in parts with a lattice of their own."""
@@ -277,25 +280,26 @@ class UnigramModel:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [self.cut(t) if t else [] for t in texts]
-        new = {p for ps in parts for p in ps}.difference(self.known)
-        if len(self.known) + len(new) > self.MOST:
+        if self.size > self.MOST:
             self.known.clear()
-            new = {p for ps in parts for p in ps}
+            self.size = 0
+        known, long = self.known, {}
         bins: dict[int, list[str]] = {}
         raws = {}
-        for p in new:
-            raws[p] = raw = p.replace(" ", MARKER).encode("utf-8", "replace")
+        for p in {p for ps in parts for p in ps}.difference(known):
+            raw = p.replace(" ", MARKER).encode("utf-8", "replace")
             if len(raw) > self.LONG:
-                self.known[p] = np.array(self._one(raw), dtype="<u4").tobytes()
+                long[p] = np.array(self._one(raw), dtype="<u4").tobytes()
             else:
+                raws[p] = raw
+                self.size += len(raw)
                 bins.setdefault(-(-len(raw) // 8), []).append(p)
         for group in bins.values():
             for k in range(0, len(group), 8192):
                 some = group[k : k + 8192]
                 for p, ids in zip(some, self._many([raws[p] for p in some]), strict=True):
-                    self.known[p] = np.array(ids, dtype="<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in ps]), dtype="<u4") for ps in parts]
+                    known[p] = np.array(ids, dtype="<u4").tobytes()
+        return [np.frombuffer(b"".join([known[p] if p in known else long[p] for p in ps]), dtype="<u4") for ps in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
@@ -303,23 +307,37 @@ class UnigramModel:
         return out[1:] if out.startswith(" ") else out
 
 
+#: Characters of the texts that are encoded together, about.
+GROUP = 1 << 21
+
+
 def _encoder(handle: Shipped, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = handle.load()
         model.start()
         to_bytes = np.zeros(len(model.surface), dtype=bool)
         to_bytes[[i for i in model.byte_ids if i >= 0]] = True
+        def done(docs: list, texts: list) -> pa.RecordBatch:
+            rows = []
+            for doc, text, ids in zip(docs, texts, model.encode(texts), strict=True):
+                raw = ids.tobytes()
+                back = model.decode(ids)
+                rows.append((doc, len(ids), int(to_bytes[ids].sum()), zlib.crc32(raw), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "").replace(MARKER, " "), raw if with_ids else None, back if with_ids else None))
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefgh"])
+
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_groups(texts):
-                rows = []
-                for doc, text, ids in zip(doc_ids[lo:hi], texts[lo:hi], model.encode(texts[lo:hi]), strict=True):
-                    raw = ids.tobytes()
-                    back = model.decode(ids)
-                    rows.append((doc, len(ids), int(to_bytes[ids].sum()), zlib.crc32(raw), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "").replace(MARKER, " "), raw if with_ids else None, back if with_ids else None))
-                kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.string()]
-                columns = list(zip(*rows, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefgh"])
+            docs, texts, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1)), strict=True):
+                docs.append(doc)
+                texts.append(text)
+                size += len(text or "")
+                if size >= GROUP:
+                    yield done(docs, texts)
+                    docs, texts, size = [], [], 0
+            if docs:
+                yield done(docs, texts)
 
     return run
 
@@ -335,31 +353,36 @@ def sentencepiece_encode(
     pieces maximise the sum of log scores; of equal sums the one whose last
     piece starts first wins. A character without a piece costs the least score
     less 10 and becomes its bytes. Distinct words of a batch are decoded together,
-    a lattice step for all of them at once. A marker in the source decodes to a
-    space, which round_trip allows for. Null and empty texts have no pieces.
-    The model's tables are of the vocabulary's size and are broadcast.
+    a lattice step for all of them at once; a word of any length has one lattice. A
+    marker in the source decodes to a space, which round_trip allows for. Null and empty
+    texts have no pieces. Rows are independent: repeats get the same values, null ids
+    are carried along, an empty table gives no rows, other columns are ignored. The
+    model's tables are of the vocabulary's size and are broadcast.
     """
+    bound_batches(docs.sparkSession)
     model = UnigramModel(read_pieces(model_path or default_model(), scores))
     handle = Shipped(docs.sparkSession, model)
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
+    out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         _encoder(handle, with_ids),
         f"{id_col} long, n_pieces long, n_byte_pieces long, ids_crc32 long, text_crc32 long, round_trip boolean, ids binary, decoded string",
     )
     return out if with_ids else out.drop("ids", "decoded")
 
 
-def sentencepiece_decode(df: DataFrame, ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
-    """df with a column ``text`` more (or anew): the text of its ids column.
-    Null ids give null. Ids outside the vocabulary raise."""
+def sentencepiece_decode(df: DataFrame, ids_col: str = "ids", model_path: str | None = None, into: str = "text") -> DataFrame:
+    """df with a column ``into`` more (or anew): the text of its ids column.
+    Null ids give null, empty ones the empty text. Ids outside the vocabulary raise.
+    All other columns stay, whatever their names; an empty table stays empty."""
+    bound_batches(df.sparkSession)
     handle = Shipped(df.sparkSession, UnigramModel(read_pieces(model_path or default_model())))
+    rest = [c for c in df.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = handle.load()
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1).to_pylist()
-            texts = [None if x is None else model.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
+            texts = [None if x is None else model.decode(np.frombuffer(x, dtype="<u4")) for x in values_of(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*rest, into])
 
-    rest = df.drop("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.withColumn("_ids", F.col(ids_col)).mapInArrow(run, f"{schema}, text string")
+    ids = "_" * (1 + max(map(len, df.columns)))  # a name that no column has
+    schema = StructType([*(f for f in df.schema if f.name != into), StructField(into, StringType())])
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids_col}`").alias(ids)).mapInArrow(run, schema)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
-from .common import shared_path, staged
-from .encoding import ByteBpe, default_vocabulary, in_groups
+from .common import bound_batches, shared_path, staged, values_of
+from .encoding import ByteBpe, default_vocabulary
 
 END_OF_DOCUMENT = 50256
 
@@ -20,28 +20,36 @@ END_OF_DOCUMENT = 50256
 IDS = ">u2"
 
 
-def _flat(vocabulary: str, end: int, file_tokens: int) -> Callable:
+#: A document's id in the files that name a token file's documents.
+NAME = np.dtype([("known", "u1"), ("id", "<i8")])
+
+
+def _flat(vocabulary: str, end: int, file_tokens: int, named: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe(vocabulary)
+        encoder = ByteBpe(vocabulary, literal=True)
         held: list[np.ndarray] = []
+        names: list[int | None] = []
         size = 0
         mark = np.array([end], dtype="<u4")
 
         def file() -> pa.RecordBatch:
             # the last byte, of the last separator, is left to the sink
-            raw = np.concatenate(held).astype(IDS).tobytes()[:-1]
+            rows = [np.concatenate(held).astype(IDS).tobytes()[:-1]]
+            if named:
+                rows.append(np.array([(x is not None, x or 0) for x in names], dtype=NAME).tobytes())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["content"])
+            names.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["content"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in in_groups(texts):
-                for ids in encoder.encode(texts[lo:hi]):
-                    held += [ids, mark]
-                    size += len(ids) + 1
-                    if size >= file_tokens:
-                        yield file()
-                        size = 0
+            for doc, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1)), strict=True):
+                ids = encoder.one(text)
+                held += [ids, mark]
+                names.append(doc)
+                size += len(ids) + 1
+                if size >= file_tokens:
+                    yield file()
+                    size = 0
         if held:
             yield file()
 
@@ -49,15 +57,19 @@ def _flat(vocabulary: str, end: int, file_tokens: int) -> Callable:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, text_col: str = "text", vocabulary: str | None = None, end: int = END_OF_DOCUMENT, file_tokens: int = 1 << 21
+    docs: DataFrame, path: str, text_col: str = "text", vocabulary: str | None = None, end: int = END_OF_DOCUMENT, file_tokens: int = 1 << 21, id_col: str | None = None
 ) -> None:
     """Writes flat files of 16-bit ids (the vocabulary's all fit), each document's
     followed by ``end``; a file is closed behind the document with which it reaches
-    file_tokens. Null text is empty: its separator alone is written. The low byte
-    of ``end`` must be ASCII, as the sink adds it."""
+    file_tokens. Null text is empty: its separator alone is written; the separator's
+    string in a text is ordinary text. A document of any length stays in one file. The
+    low byte of ``end`` must be ASCII, as the sink adds it. With id_col every token file
+    is followed by one that names its documents, so that token files have even numbers."""
     if end >= 1 << 16 or end & 0xFF >= 0x80:
         raise ValueError("end must fit 16 bits, its low byte 7")
-    flat = docs.select(text_col).mapInArrow(_flat(vocabulary or default_vocabulary(), end, file_tokens), "content binary")
+    names = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    flat = docs.select(names.alias("name"), F.col(text_col).cast("string")).mapInArrow(_flat(vocabulary or default_vocabulary(), end, file_tokens, bool(id_col)), "content binary")
+    bound_batches(docs.sparkSession)
     write_blobs(flat, "content", chr(end & 0xFF), path)
 
 
@@ -65,7 +77,7 @@ def _scan_blocks(end: int, block_tokens: int, dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["stream", "file_no", "block_no", "n_tokens", "ends"]
         for batch in batches:
-            for stream, number, content in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+            for stream, number, content in zip(*(values_of(batch.column(j)) for j in range(3)), strict=True):
                 if len(content) % np.dtype(dtype).itemsize:
                     raise ValueError(f"file {number} of {stream} is not a whole number of ids")
                 ids = np.frombuffer(content, dtype=dtype)
@@ -82,7 +94,7 @@ def _scan_blocks(end: int, block_tokens: int, dtype: str) -> Callable:
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for stream, first, before, open_, ends, tail, last in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
+        for stream, first, in_file, before, open_, ends, tail, last, names in zip(*(batch.column(j).to_pylist() for j in range(8)), values_of(batch.column(8)), strict=True):
             stop = np.asarray(ends, dtype=np.int64)
             closed = len(stop)
             if last and tail:
@@ -93,16 +105,22 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.concatenate(([-open_ if closed else 0], stop[:-1] + 1))
             if last and tail and not closed:
                 start, stop = np.array([-open_]), np.array([tail])
+            if names is None:
+                docs = pa.nulls(n, pa.int64())
+            else:
+                own = np.frombuffer(names, dtype=NAME, count=len(names) // NAME.itemsize)[in_file : in_file + n]
+                docs = pa.array(np.ascontiguousarray(own["id"]), pa.int64(), mask=own["known"] == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([stream] * n), pa.array(first + np.arange(n)), pa.array(before + start), pa.array(stop - start), pa.array(np.arange(n) < closed)],
-                ["stream", "doc_no", "start", "n_tokens", "terminated"],
+                [pa.array([stream] * n), pa.array(first + np.arange(n)), docs, pa.array(before + start), pa.array(stop - start), pa.array(np.arange(n) < closed)],
+                ["stream", "doc_no", "doc_id", "start", "n_tokens", "terminated"],
             )
 
 
-def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, block_tokens: int = 1 << 18, dtype: str = IDS) -> DataFrame:
+def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, block_tokens: int = 1 << 18, dtype: str = IDS, named: bool = False) -> DataFrame:
     """One row per document of the flat token files under path: stream, doc_no
-    (in the stream, from 0), start (tokens of the stream before it), n_tokens
-    (its separator not counted), terminated (false for a last document without one).
+    (in the stream, from 0), doc_id (null unless ``named``: files written with
+    id_col), start (tokens of the stream before it), n_tokens (its separator not
+    counted), terminated (false for a last document without one).
 
     Files of one stream (the writer's task, ``part-NNNNN``) follow each other by
     their number (``-cNNN`` before the suffix). Each file is searched in blocks, independently: a
@@ -111,23 +129,27 @@ def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, blo
     each block the tokens and separators before it and the tokens since the last
     separator; with these it places its documents by itself. Two separators in
     a row are an empty document. A file must fit into one row (2 GB); the writer
-    bounds its files far below. dtype is NumPy's name of an id's format. Empty files
-    give no row.
+    bounds its files far below, but for a longer single document. dtype is NumPy's
+    name of an id's format. Empty files, and a folder without any, give no row.
     """
+    bound_batches(spark)
     name = F.element_at(F.split("path", "/"), -1)
     files = read_blobs(spark, path).select(
         F.regexp_extract(name, r"^(part-\d+)", 1).alias("stream"), F.regexp_extract(name, r"-c(\d+)\.[^-]*$", 1).cast("long").alias("file_no"), "content"
     )
-    blocks = staged(files.mapInArrow(_scan_blocks(end, block_tokens, dtype), "stream string, file_no long, block_no long, n_tokens long, ends array<long>"), "token-blocks")
+    tokens = files.filter(F.col("file_no") % 2 == 0) if named else files
+    blocks = staged(tokens.mapInArrow(_scan_blocks(end, block_tokens, dtype), "stream string, file_no long, block_no long, n_tokens long, ends array<long>"), "token-blocks")
     blocks = blocks.withColumn("n_ends", F.size("ends").cast("long")).withColumn(
         "tail", F.when(F.col("n_ends") > 0, F.col("n_tokens") - 1 - F.element_at("ends", -1)).otherwise(F.col("n_tokens"))
     )
     # The scan itself runs over the summaries; the places stay out of its sort.
     order = Window.partitionBy("stream").orderBy("file_no", "block_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("stream", "file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     scanned = (
         blocks.select("stream", "file_no", "block_no", "n_tokens", "n_ends", "tail")
         .withColumn("first_doc", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
+        .withColumn("in_file", F.coalesce(F.sum("n_ends").over(in_file), F.lit(0)))
         .withColumn("tokens_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
         .withColumn("last_end", F.max(F.when(F.col("n_ends") > 0, F.col("tokens_before") + F.col("n_tokens") - F.col("tail"))).over(before))
         .withColumn("open", F.col("tokens_before") - F.coalesce("last_end", F.lit(0)))
@@ -136,13 +158,24 @@ def token_counts(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, blo
     placed = blocks.select("stream", "file_no", "block_no", "ends", "tail").join(
         scanned.drop("n_tokens", "n_ends", "tail", "last_end"), ["stream", "file_no", "block_no"]
     )
-    return placed.select("stream", "first_doc", "tokens_before", "open", "ends", "tail", "last").mapInArrow(
-        _lengths, "stream string, doc_no long, start long, n_tokens long, terminated boolean"
+    if named:
+        names = files.filter(F.col("file_no") % 2 == 1).select("stream", (F.col("file_no") - 1).alias("file_no"), F.col("content").alias("names"))
+        placed = placed.join(names, ["stream", "file_no"], "left")
+    else:
+        placed = placed.withColumn("names", F.lit(None).cast("binary"))
+    return placed.select("stream", "first_doc", "in_file", "tokens_before", "open", "ends", "tail", "last", "names").mapInArrow(
+        _lengths, "stream string, doc_no long, doc_id long, start long, n_tokens long, terminated boolean"
     )
 
 
-def count_document_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Writes docs as flat token files to shared storage and counts by scanning them."""
+def count_document_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Writes docs as flat token files to shared storage and counts by scanning them:
+    one row per input row, with its id (null ids stay null).
+
+    Null and empty texts are documents of no token. Repeated rows are documents of
+    their own. A text of any length up to 2 GB of ids is counted whole. An empty table
+    gives no row. Other columns are ignored, whatever their names.
+    """
     path = shared_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, text_col, vocabulary)
-    return token_counts(docs.sparkSession, path)
+    write_token_files(docs, path, text_col, vocabulary, id_col=id_col)
+    return token_counts(docs.sparkSession, path, named=True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
-from .common import shared_path
+from .common import bound_batches, shared_path, values_of
 
 # Fixed values of the formats (RFC 8878, the WARC standard and its Zstandard appendix).
 FRAME, DICTIONARY_FRAME, PAD_FRAME, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, 0x184D2A50, 0x184D2A5
@@ -110,7 +110,7 @@ def _archives(archive_bytes: int, date: str) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([x] if (x := writer.finish()) else [], pa.binary())], ["content"])
 
         for batch in batches:
-            for page_id, url, html, first in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            for page_id, url, html, first in zip(*(values_of(batch.column(j)) for j in range(4)), strict=True):
                 refers = first if first is not None and first != page_id else None
                 writer.add(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers, date))
                 if writer.size >= archive_bytes:
@@ -133,14 +133,18 @@ def write_warc(
 ) -> None:
     """Writes a record per row into archives under path.
 
-    Of records with equal payloads (same SHA-1 and length) of min_payload bytes
-    or more the smallest id is the response, the others revisit it. Null html is
-    the empty payload, a null url the empty one; a row with a null id revisits
-    its payload's smallest id where there is one. Rows that repeat an id with the
-    same payload are all responses. The hot payload is aggregated before the shuffle
-    and its rows, with one partner each, can be split among tasks.
+    Of records with equal payloads of min_payload bytes or more the smallest id is the
+    response, the others revisit it. Payloads are equal when their SHA-1 and length are,
+    as the standard's identical-payload-digest profile has it; bytes are not compared.
+    Null html is the empty payload, a null url the empty one; a row with a null id
+    revisits its payload's smallest id where there is one. Rows that repeat an id with
+    the same payload are all responses. An html of any length is one record. An empty
+    table gives no archive; other columns are ignored, whatever their names. The hot
+    payload is aggregated before the shuffle and its rows, with one partner each, can be
+    split among tasks.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    bound_batches(pages.sparkSession)
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size")
     )
@@ -213,9 +217,9 @@ def parse_record(raw: bytes) -> dict:
     return out
 
 
-def read_archive(buf: bytes, max_record: int = 1 << 30) -> Iterator[tuple[int, dict, bytes | None]]:
-    """(place, values, record) of each frame of one archive. A frame that can't be
-    read gives its problem; behind a broken one nothing more is read."""
+def read_archive(buf: bytes) -> Iterator[tuple[int, dict, bytes | None]]:
+    """(place, values, record) of each frame of one archive; records of any length. A
+    frame that can't be read gives its problem; behind a broken one nothing more is read."""
     at, dictionary = 0, None
     if int.from_bytes(buf[:4], "little") == DICTIONARY_FRAME:
         at = frame_end(buf, 0)
@@ -227,10 +231,13 @@ def read_archive(buf: bytes, max_record: int = 1 << 30) -> Iterator[tuple[int, d
     while at < len(buf):
         try:
             end = frame_end(buf, at)
-            skip = int.from_bytes(buf[at : at + 4], "little") >> 4 == SKIPPABLE
-            if not skip and zstandard.frame_content_size(buf[at:end]) > max_record:
-                raise ValueError("too large")
-            raw = None if skip else decompressor.decompress(buf[at:end], max_output_size=max_record)
+            frame = buf[at:end]
+            if int.from_bytes(frame[:4], "little") >> 4 == SKIPPABLE:
+                raw = None
+            elif zstandard.frame_content_size(frame) >= 0:
+                raw = decompressor.decompress(frame)
+            else:  # the header need not state the length
+                raw = decompressor.decompressobj().decompress(frame)
         except (ValueError, IndexError, zstandard.ZstdError) as e:
             yield at, parse_record(b"") | {"problem": f"frame: {e}"}, None
             return
@@ -242,7 +249,7 @@ def read_archive(buf: bytes, max_record: int = 1 << 30) -> Iterator[tuple[int, d
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, content in zip(*(values_of(batch.column(j)) for j in range(2)), strict=True):
             rows = [
                 (v["page_id"], v["payload_bytes"], v["payload_digest"], v["record_type"], v["refers_to"], v["target_uri"], path.rsplit("/", 1)[-1], at, v["problem"] is None, v["problem"])
                 for at, v, _ in read_archive(content)
@@ -256,7 +263,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload_digest, record_type, refers_to, target_uri, archive, at (the frame's
     place), valid, problem. A revisit's payload values are those it states of
     the full payload; the reader checks all it can: frames and their checksums,
-    headers, lengths, block and payload digests."""
+    headers, lengths, block and payload digests. A folder without archives gives none."""
+    bound_batches(spark)
     return read_blobs(spark, path).select("path", "content").mapInArrow(_records, RESULT)
 
 

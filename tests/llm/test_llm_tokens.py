@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparsela.llm.blobs import read_blobs, write_blobs
@@ -19,7 +20,7 @@ from sparsela.llm.encoding import ByteBpe, default_vocabulary
 from sparsela.llm.packing import best_fit_pack, plan
 from sparsela.llm.queries import QUERIES
 from sparsela.llm.sentencepieces import UnigramModel, default_model, read_pieces, sentencepiece_decode, sentencepiece_encode
-from sparsela.llm.token_counts import token_counts, write_token_files
+from sparsela.llm.token_counts import count_document_tokens, token_counts, write_token_files
 from sparsela.llm.warc import frame_end, parse_record, read_archive, read_warc, record, write_warc
 
 HARD = [None, "", " ", "  a  b ", "\n\n x\ty ", "a b", "ends ", "tab\t \tx", "x <|endoftext|> y", "é漢字🙂 ok", "a" * 5000, "1 2  3", "don't  stop\x1c x"]
@@ -27,6 +28,12 @@ HARD = [None, "", " ", "  a  b ", "\n\n x\ty ", "a b", "ends ", "tab\t \tx", "x
 
 @pytest.fixture(scope="module")
 def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def literal():
+    """Strings of special tokens are ordinary text, as in token files."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return t
@@ -36,19 +43,30 @@ def docs_of(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_cached_encoding_is_the_tokenizers(tokenizer, spark, sf_dir):
+def test_encoding_is_the_tokenizers(tokenizer, literal, spark, sf_dir):
     texts = HARD + [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     rng = random.Random(2)
     texts += ["".join(rng.choices("ab \n\t'1!. é", k=60)) for _ in range(2000)]
-    got = ByteBpe(default_vocabulary()).encode(texts)
-    want = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
-    assert all(a.tolist() == b.ids for a, b in zip(got, want, strict=True))
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext", "漢<|endoftext|>"]
+    for library, mine in ((tokenizer, ByteBpe(default_vocabulary())), (literal, ByteBpe(default_vocabulary(), literal=True))):
+        want = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert all(a.tolist() == b.ids for a, b in zip(mine.encode(texts), want, strict=True))
+    assert ByteBpe(default_vocabulary()).one("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
-def test_token_counts(spark, sf_dir, tokenizer):
-    got = Counter(r["n_tokens"] for r in QUERIES["op1_token_counts"](spark, sf_dir).collect())
-    texts = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    assert got == Counter(len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False))
+def test_token_counts(spark, sf_dir, literal):
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op1_token_counts"](spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert got == {r[0]: len(x.ids) for r, x in zip(rows, literal.encode_batch([r[1] for r in rows], add_special_tokens=False), strict=True)}
+
+
+def test_token_counts_edges(spark, literal):
+    long = "some words " * 200_000
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "x <|endoftext|> y"), (3, "x <|endoftext|> y"), (4, long), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as name", "2 as stream", "3 as n_tokens", "4 as content")
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"]) for r in count_document_tokens(docs).collect()))
+    assert got == sorted((i or 0, len(literal.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert count_document_tokens(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(("file_tokens", "block"), [(7, 3), (1000, 5), (64, 64), (10, 1000)])
@@ -132,6 +150,29 @@ def test_sentencepiece_frames(spark, sf_dir):
     assert sentencepiece_encode(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_sentencepiece_keeps_other_columns(spark):
+    docs = docs_of(spark, ["a b", None, "a b"]).selectExpr("*", "1 as n_pieces", "2 as ids", "3 as _ids")
+    rows = sentencepiece_encode(docs, with_ids=True)
+    clash = rows.selectExpr("doc_id", "ids", "7 as _ids", "'t' as text", "8 as `a.b`")
+    clash = clash.unionByName(clash.filter("doc_id = 0").withColumn("ids", F.lit(None).cast("binary")))
+    got = sentencepiece_decode(clash).collect()
+    assert sorted(str(r["text"]) for r in got) == ["", "None", "a b", "a b"]
+    assert all(r["_ids"] == 7 and r["a.b"] == 8 for r in got)
+
+
+def test_word_cache_is_bounded_by_bytes(unigram):
+    mine, _, _ = unigram
+    mine.start()
+    for k in range(30):
+        mine.encode([" ".join(f"w{k}x{j}" for j in range(100)), "y" * 5000])
+        assert all(len(p.encode()) <= 96 for p in mine.known)
+    old, mine.MOST = mine.MOST, 1000
+    mine.encode(["some new words " * 3])
+    mine.encode(["other"])
+    assert len(mine.known) < 10
+    mine.MOST = old
+
+
 def test_packing_is_gapless_and_whole(spark, sf_dir, tokenizer):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = QUERIES["op8_best_fit_packing"](spark, sf_dir).collect()
@@ -198,6 +239,16 @@ def test_packing_edges(spark):
     assert best_fit_pack(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_packing_of_special_strings_long_texts_repeats_and_clashes(spark, tokenizer):
+    long = "many words here " * 30_000
+    rows = [(1, "a <|endoftext|> b"), (1, "a <|endoftext|> b"), (2, long), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as length", "3 as part", "4 as ids")
+    got = best_fit_pack(docs, with_ids=True).collect()
+    assert sorted(r["length"] for r in got if r["doc_id"] == 1) == [5, 5] and sum(r["doc_id"] is None for r in got) == 1
+    raw = b"".join(bytes(r["ids"]) for r in sorted((r for r in got if r["doc_id"] == 2), key=lambda r: r["piece"]))
+    assert np.frombuffer(raw, dtype="<u4").tolist() == [*tokenizer.encode(long, add_special_tokens=False).ids, 0]
+
+
 def b32(payload):
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -225,6 +276,9 @@ def test_warc_edges(spark, tmp_path):
     assert {r["record_type"] for r in read_warc(spark, f"{tmp_path}/v").filter("payload_bytes = 0").collect()} == {"response"}
     write_warc(pages.limit(0), f"{tmp_path}/e")
     assert read_warc(spark, f"{tmp_path}/e").count() == 0
+    long = spark.createDataFrame([(1, "u", "x" * 5_000_000), (2, "u", "y")], "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as first", "3 as size", "4 as id")
+    write_warc(long, f"{tmp_path}/l")
+    assert {r["payload_bytes"]: r["valid"] for r in read_warc(spark, f"{tmp_path}/l").collect()} == {5_000_000: True, 1: True}
 
 
 def test_archives_have_dictionaries_and_frames(spark, tmp_path, sf_dir):
@@ -249,4 +303,7 @@ def test_broken_archives_are_told():
     assert parse_record(good.replace(b"WARC-Date", b"X-Date"))["problem"] == "without warc-date"
     frame = zstandard.ZstdCompressor(write_checksum=True).compress(good)
     assert [v["problem"] for _, v, _ in read_archive(frame + frame[:-3])] == [None, "frame: cut off"]
+    stream = zstandard.ZstdCompressor().compressobj()
+    unsized = stream.compress(good) + stream.flush()
+    assert zstandard.frame_content_size(unsized) < 0 and [v["problem"] for _, v, _ in read_archive(unsized + frame)] == [None, None]
     assert "frame" in list(read_archive(b"junkjunk"))[0][1]["problem"]
