@@ -7,12 +7,13 @@ import pickle
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows with texts come to Python in batches bounded by their bytes, not by rows alone.
 BATCH_BYTES = 4 << 20
@@ -101,6 +102,19 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def map_rows(df: DataFrame, run: Callable, fields: list[StructField]) -> DataFrame:
+    """mapInArrow over whole rows of any column names: the batches' columns go by their
+    place, and the result's are ``fields``."""
+    numbered = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    schema = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(fields)])
+
+    def named(batches: Iterator) -> Iterator:
+        for batch in run(batches):
+            yield batch.rename_columns([f"c{k}" for k in range(batch.num_columns)])
+
+    return numbered.mapInArrow(named, schema).toDF(*[f.name for f in fields])
+
+
 class Shipped:
     """A bounded object, broadcast once with its class by value, since workers need
     not have this package."""

@@ -175,10 +175,12 @@ class Recogniser:
     they begin and however its lines break, and matches their identifiers with rules."""
 
     def __init__(self, known: dict[str, str], rules: tuple[tuple[str, str], ...], max_gap: int, names: dict[str, tuple[str, ...]]) -> None:
-        self.known: dict[tuple[str, str], list[tuple[tuple[str, ...], str]]] = {}
+        self.known: dict[tuple[str, ...], list[tuple[tuple[str, ...], str]]] = {}
         for name, s in known.items():
             words = tuple(s.split())
-            self.known.setdefault(words[:2], []).append((words, name))
+            if words[0] == "<*>":
+                raise ValueError(f"{name} begins with <*>")
+            self.known.setdefault(words[: 1 if "<*>" in words[:2] else 2], []).append((words, name))
         for same in self.known.values():
             same.sort(key=lambda x: (-len(x[0]), x[1]))
         self.names: dict[str, list[tuple[tuple[str, ...], str]]] = {}
@@ -209,8 +211,9 @@ class Recogniser:
         return at
 
     def at(self, words: list[str], i: int) -> tuple[int, str] | None:
-        """(end, identifier) of the longest known sentence or notice that begins at word i."""
-        for form, name in self.known.get(tuple(words[i : i + 2]), ()):
+        """(end, identifier) of the known sentence that begins at word i, the longest form
+        first, or of a notice."""
+        for form, name in (*self.known.get(tuple(words[i : i + 2]), ()), *self.known.get((words[i],), ())):
             if (end := self._fits(words, i, form)) is not None:
                 return end, name
         if words[i] in NOTICE_VERBS and words[i + 1 : i + 2] == ["under"]:
@@ -233,10 +236,11 @@ class Recogniser:
         free = 0
         done = False
         while not done or words:
+            before = len(words)
             for m in itertools.islice(source, 1 << 16):
                 words.append(m[0].lower())
                 starts.append(m.start())
-            done = done or len(words) < self.reach + (1 << 16)
+            done = len(words) - before < 1 << 16
             i, stop = free, len(words) if done else len(words) - self.reach
             while i < stop:
                 if hit := self.at(words, i):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, values_of
+from .common import bound_batches, map_rows, values_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -326,11 +326,12 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     in the text by its kind ([EMAIL]; of spans that overlap the first one's kind) and its
     length adjusted where it changed. Nulls stay null; ids don't matter."""
 
+    t = docs.columns.index(text_col)
+    n = docs.columns.index(length_col) if length_col in docs.columns else -1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deobfuscator = Deobfuscator()
         for batch in batches:
-            t = batch.schema.get_field_index(text_col)
-            n = batch.schema.get_field_index(length_col)
             new: list[str | None] = []
             sizes = batch.column(n).to_pylist() if n >= 0 else []
             for k, text in enumerate(values_of(batch.column(t))):
@@ -345,4 +346,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, list(docs.schema))

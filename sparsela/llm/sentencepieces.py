@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
 
-from .common import Shipped, bound_batches, values_of
+from .common import Shipped, bound_batches, map_rows, values_of
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -381,8 +381,7 @@ def sentencepiece_decode(df: DataFrame, ids_col: str = "ids", model_path: str |
         model = handle.load()
         for batch in batches:
             texts = [None if x is None else model.decode(np.frombuffer(x, dtype="<u4")) for x in values_of(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*rest, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
-    ids = "_" * (1 + max(map(len, df.columns)))  # a name that no column has
-    schema = StructType([*(f for f in df.schema if f.name != into), StructField(into, StringType())])
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids_col}`").alias(ids)).mapInArrow(run, schema)
+    rows = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids_col}`"))
+    return map_rows(rows, run, [*(f for f in df.schema if f.name != into), StructField(into, StringType())])

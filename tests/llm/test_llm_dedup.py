@@ -177,7 +177,7 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     prose = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
     rows = [(1, None), (2, ""), (3, prose), (3, prose), (None, prose + " more"), (None, None), (4, long), (5, prose.upper()), (6, prose + " end")]
-    odd = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, _row string, kept int")
+    odd = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, _row string, `kept.x` int")
     docs = odd
     want = [[3, 3, None, 4, 5, 6], [None, 3, 4, 6], [None, 3, 4], [None, 3, 4]]
     for (name, stage), ids in zip(corpus_pipeline.STAGES, want, strict=False):
