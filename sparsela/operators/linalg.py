@@ -207,6 +207,14 @@ def weighted_sample(scores: DataFrame, n: int, seed: int = 123) -> DataFrame:
     return scores.filter("score > 0").withColumn("_k", F.log(u) / F.col("score")).orderBy(F.desc("_k"), "cell").limit(n).select("cell")
 
 
+def standardize(embedding: DataFrame) -> DataFrame:
+    """(cell, ord, vec) with every dimension less its mean, over its sd (n - 1; 0 as 1):
+    one aggregate of two numbers a dimension."""
+    stats = embedding.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).orderBy("i").collect()
+    mean, sd = (F.array(*[F.lit(float(r[c] or (c == "s"))) for r in stats]) for c in ("m", "s"))
+    return embedding.select("cell", "ord", F.zip_with(F.zip_with("vec", mean, lambda x, m: x - m), sd, lambda x, s: x / s).alias("vec"))
+
+
 def cca(a: Matrix, b: Matrix, features: Sequence[str], dims: int = 30, seed: int = 42, rounds: int = 12) -> DataFrame:
     """(dataset, cell, ord, vec): leading singular vectors of A'B of standardised
     cells, by subspace iteration through the features; A'B is never formed. Vectors

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +189,36 @@ def axis_sums(m: Matrix, by: str) -> DataFrame:
     return full.withColumn("mean", F.col("total") / F.lit(float(other)))
 
 
+def col_blocks(m: Matrix, block_size: int = 10_000) -> Iterator[tuple[int, Matrix]]:
+    """(number, matrix) of the cells of each range of block_size in their order; lazy, so
+    that a block is read when it is used."""
+    last = m.cells.agg(F.max("ord")).first()[0]
+    for k in range(0 if last is None else last // block_size + 1):
+        mine = F.col("ord").between(k * block_size, (k + 1) * block_size - 1)
+        yield k, subset(m, cells=m.cells.filter(mine))
+
+
+def block_sums(m: Matrix, block_size: int = 10_000) -> DataFrame:
+    """(block, n_cells, nnz, total) of all blocks in one pass."""
+    cells = m.cells.select("cell", F.floor(F.col("ord") / block_size).alias("block"))
+    sums = m.expr.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.sum("value").alias("s"))
+    rows = cells.join(sums, "cell", "left").groupBy("block")
+    return rows.agg(F.count(F.lit(1)).alias("n_cells"), F.coalesce(F.sum("k"), F.lit(0)).alias("nnz"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("total"))
+
+
+def to_arrays(m: Matrix, max_entries: int = 10_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, indices, indptr) of the layer by cells in their order (compressed columns) on
+    the driver, for at most max_entries entries (checked)."""
+    n = m.expr.limit(max_entries + 1).count()
+    if n > max_entries:
+        raise ValueError(f"more than {max_entries} entries: select cells or features first")
+    rows = m.expr.join(m.features.select("feature", F.col("ord").alias("i")), "feature").join(m.cells.select("cell", F.col("ord").alias("j")), "cell").select("i", "j", "value").toPandas()
+    at = {key: np.array([r[0] for r in table.select("ord").orderBy("ord").collect()], dtype=np.int64) for key, table in (("i", m.features), ("j", m.cells))}
+    i, j = (np.searchsorted(at[k], rows[k].to_numpy()) for k in ("i", "j"))
+    order = np.lexsort((i, j))
+    return rows["value"].to_numpy(float)[order], i[order], np.concatenate(([0], np.cumsum(np.bincount(j, minlength=len(at["j"])))))
+
+
 def align_on_cells(a: Matrix, b: Matrix) -> tuple[Matrix, Matrix]:
     """Both matrices on the cells they share."""
     return subset(a, cells=b.cells), subset(b, cells=a.cells)

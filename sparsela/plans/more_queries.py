@@ -22,7 +22,8 @@ from ..operators import workflows as wf
 from . import fixture as fix
 from .queries import _WEIGHTS, GROUP, _anchor_parts, query
 
-SOME = [f"g{k}" for k in range(6, 60)]
+#: All features of the fixture.
+SOME = [f"MT-{k}" for k in range(6)] + [f"g{k}" for k in range(6, 120)]
 
 
 def _parts(s, d):
@@ -65,14 +66,6 @@ def shared_features(s, d):
     return mp.shared_features(m.features, own)
 
 
-@query(
-    """, g AS (SELECT f.feature, batch, coalesce(value, 0) AS value FROM features f CROSS JOIN cells c LEFT JOIN data e ON e.feature = f.feature AND e.cell = c.cell WHERE batch <> 'b2')
-    SELECT feature FROM (SELECT feature, batch, stddev_samp(value) AS sd FROM g GROUP BY 1, 2) GROUP BY 1 HAVING min(sd) > 0""", "features", "cells", "data",
-)
-def varying_everywhere(s, d):
-    return mp.varying_everywhere([nz.feature_moments(p) for p in _parts(s, d)])
-
-
 @query("SELECT ident AS cluster, f.feature, count(value) AS pos1, round(coalesce(sum(exp(value) - 1), 0), 5) AS e1, count(*) AS n1 FROM features f CROSS JOIN cells c LEFT JOIN data e ON e.feature = f.feature AND e.cell = c.cell GROUP BY 1, 2", "features", "cells", "data")
 def cluster_sums(s, d):
     out = mk.cluster_sums(fix.data(s, d))
@@ -115,12 +108,6 @@ def snn_bandwidth(s, d):
     return nb.snn_bandwidth(nb.snn_graph(nb.knn(e, 10), 10), e, 8)
 
 
-@query(_WEIGHTS + ", v AS (SELECT w.cell, vec[1] AS x, weight FROM weights w JOIN emb ON emb.cell = c1) SELECT 'first' AS feature, cell, round(sum(weight * x), 6) + 0.0 AS value FROM v GROUP BY 1, 2", "emb")
-def transfer_values(s, d):
-    a, _, _, weights = _anchor_parts(s, d)
-    return mp.transfer_values(weights, a.select(F.lit("first").alias("feature"), "cell", F.element_at("vec", 1).alias("value")))
-
-
 @query(
     """, z AS (SELECT q.cell, t.label AS class, list_distance(q.vec, t.vec) AS dist, row_number() OVER (PARTITION BY q.cell ORDER BY round(list_distance(q.vec, t.vec), 12), t.ord) AS r FROM emb q CROSS JOIN emb t WHERE t.ord % 4 = 0 AND q.ord % 4 <> 0),
     y AS (SELECT cell, class, 1 - exp(-(1 - dist / max(dist) OVER (PARTITION BY cell)) / 4) AS w FROM z WHERE r <= 12), v AS (SELECT cell, class, sum(w) / any_value(t) AS score FROM (SELECT *, sum(w) OVER (PARTITION BY cell) AS t FROM y) GROUP BY 1, 2)
@@ -146,13 +133,6 @@ def dense_rows(s, d):
     return dense.select("feature", F.size("vec").alias("cells"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT feature, cell, value FROM expr WHERE feature IN ('g70', 'g71')", "expr")
-def dense_round_trip(s, d):
-    m = fix.counts(s, d)
-    part = mx.subset(m, features=m.features.filter("feature in ('g70', 'g71')"))
-    return mx.from_dense(mx.to_dense(part), part.cells)
-
-
 @query("SELECT name, min_by(feature, ord) AS feature FROM (SELECT 'G-' || id AS name, upper(regexp_replace(feature, '[^A-Za-z0-9]', '', 'g')) AS k, feature, ord FROM features, (SELECT unnest(range(7, 40)) AS id) WHERE upper(regexp_replace(feature, '[^A-Za-z0-9]', '', 'g')) = 'G' || id) GROUP BY 1", "features")
 def resolve_symbols(s, d):
     return sc.resolve_symbols(fix.features(s), s.range(7, 40).select(F.concat(F.lit("G-"), F.col("id").cast("string")).alias("name")))
@@ -189,17 +169,6 @@ def dim_heatmap(s, d):
     return pl.dim_heatmap(nz.scale_data(m, SOME), pca["cells"], pca["loadings"], 0, 5, 50)
 
 
-@query()
-def ridge_plot(s, d):
-    return pl.ridge(fix.data(s, d), "g15", "ident", 30)
-
-
-@query()
-def find_neighbors(s, d):
-    m = fix.data(s, d)
-    return nb.find_neighbors(la.run_pca(m, SOME, 5)["cells"], [0, 1, 2], 10)[1]
-
-
 @query()
 def integration_anchors_cca(s, d):
     return wf.find_integration_anchors(*_parts(s, d), SOME, "cca", 8, 5, 50, 10)
@@ -230,12 +199,6 @@ def project_data(s, d):
     return wf.project_data(m, sketch, SOME, m.cells.select("cell", F.col("ident").alias("class")), 6, 10)
 
 
-@query()
-def niche_assay(s, d):
-    labels = fix.cells(s, d).select("cell", F.col("ident").alias("category"))
-    return wf.build_niche_assay(fix.centroids(s, d), labels, 6)[0]
-
-
 @query()
 def sctransform(s, d):
     return md.sctransform(fix.counts(s, d), n_genes=100, n_cells=500)["variances"].select("feature", F.round("residual_variance", 4).alias("residual_variance"))
@@ -286,11 +249,6 @@ def clara(s, d):
     return dm.clara(fix.embedding(s, d).select("cell", "vec"), 4, 10)
 
 
-@query("SELECT cell, rank() OVER (ORDER BY depth DESC) AS rank FROM cells", "cells")
-def competition_rank(s, d):
-    return fix.cells(s, d).select("cell", F.rank().over(Window.orderBy(F.desc_nulls_last("depth"))).alias("rank"))
-
-
 @query()
 def find_clusters_leiden(s, d):
     e = fix.embedding(s, d)

@@ -64,11 +64,11 @@ def calc_n(s, d):
 
 
 @query(
-    """, f AS (SELECT feature FROM expr GROUP BY 1 HAVING count(*) >= 500), e AS (SELECT * FROM expr SEMI JOIN f USING (feature)),
-    c AS (SELECT cell FROM e GROUP BY 1 HAVING count(*) >= 30) SELECT cell, feature, value FROM e SEMI JOIN c USING (cell)""", "expr",
+    """, f AS (SELECT feature FROM expr GROUP BY 1 HAVING count(*) >= 400), e AS (SELECT * FROM expr SEMI JOIN f USING (feature)),
+    c AS (SELECT cell FROM e GROUP BY 1 HAVING count(*) >= 10) SELECT cell, feature, value FROM e SEMI JOIN c USING (cell)""", "expr",
 )
 def create_assay(s, d):
-    return mx.create_assay(fix.counts(s, d), 500, 30).expr.select("cell", "feature", "value")
+    return mx.create_assay(fix.counts(s, d), 400, 10).expr.select("cell", "feature", "value")
 
 
 @query("SELECT c.cell, coalesce(round(100 * sum(CASE WHEN feature LIKE 'MT-%' THEN value ELSE 0 END) / sum(value), 6), 0) AS percent FROM cells c LEFT JOIN expr USING (cell) GROUP BY 1", "cells", "expr")
@@ -191,22 +191,6 @@ def clr_by_cell(s, d):
     return nz.clr(fix.counts(s, d), 2).expr
 
 
-@query(
-    """, g AS (SELECT f.feature, c.cell, coalesce(value, 0) AS value FROM (SELECT feature FROM features WHERE feature IN ('g20', 'g21', 'g22')) f CROSS JOIN cells c LEFT JOIN data USING (feature, cell))
-    SELECT feature, cell, round(greatest(-10, least(10, (value - avg(value) OVER w) / stddev_samp(value) OVER w)), 6) + 0.0 AS value FROM g WINDOW w AS (PARTITION BY feature)""", "features", "cells", "data",
-)
-def scale_data(s, d):
-    return nz.scale_data(fix.data(s, d), ["g20", "g21", "g22"])
-
-
-@query(
-    """, g AS (SELECT f.feature, c.cell, depth AS x, coalesce(value, 0) AS y FROM (SELECT feature FROM features WHERE feature IN ('g30', 'g31')) f CROSS JOIN cells c LEFT JOIN data USING (feature, cell)),
-    r AS (SELECT feature, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM g GROUP BY 1) SELECT feature, cell, round(y - a - b * x, 6) + 0.0 AS value FROM g JOIN r USING (feature)""", "features", "cells", "data",
-)
-def regress_out(s, d):
-    return nz.regress_out(fix.data(s, d), "depth", ["g30", "g31"])
-
-
 # -- aggregation -------------------------------------------------------------
 
 
@@ -243,16 +227,6 @@ def geometric_means(s, d):
     return ag.geometric_means(fix.counts(s, d))
 
 
-@query(
-    """, g AS (SELECT f.feature, ident AS grp, sum(exp(coalesce(value, 0)) - 1) / count(*) AS mean, count(value) / count(*) AS pct FROM (SELECT * FROM features WHERE feature IN ('g40', 'g41', 'g42')) f CROSS JOIN cells c
-    LEFT JOIN data e ON e.feature = f.feature AND e.cell = c.cell GROUP BY 1, 2)
-    SELECT feature, grp AS "group", round(mean, 6) AS mean, round(pct, 6) AS pct, round(greatest(-2.5, least(2.5, (ln(1 + mean) - avg(ln(1 + mean)) OVER w) / stddev_samp(ln(1 + mean)) OVER w)), 6) + 0.0 AS scaled FROM g WINDOW w AS (PARTITION BY feature)""",
-    "features", "cells", "data",
-)
-def dot_plot(s, d):
-    return ag.dot_plot(fix.data(s, d), "ident", ["g40", "g41", "g42"])
-
-
 @query(
     """, t AS (SELECT ident AS "group", count(*) FILTER (batch = 'b0') AS n_1, count(*) FILTER (batch = 'b1') AS n_2 FROM cells WHERE batch IN ('b0', 'b1') GROUP BY 1)
     SELECT "group", n_1, n_2, round(n_1 / sum(n_1) OVER (), 6) AS prop_1, round(n_2 / sum(n_2) OVER (), 6) AS prop_2, round(log2((n_2 / sum(n_2) OVER ()) / (n_1 / sum(n_1) OVER ())), 6) + 0.0 AS log2_ratio FROM t""", "cells",
@@ -261,16 +235,6 @@ def composition(s, d):
     return ag.composition(fix.cells(s, d), "ident", "batch", "b0", "b1")
 
 
-@query()
-def composition_test(s, d):
-    """Fisher's exact test of each group against the others, adjusted, with marks."""
-    t = ag.composition(fix.cells(s, d), "ident", "batch", "b0", "b1")
-    w = Window.partitionBy(F.lit(0))
-    t = t.withColumn("_a", F.sum("n_2").over(w) - F.col("n_2")).withColumn("_b", F.sum("n_1").over(w) - F.col("n_1"))
-    t = t.withColumn("p", fisher_p("n_2", "n_1", "_a", "_b")).drop("_a", "_b")
-    return fx.benjamini_hochberg(t).withColumn("sig", fx.stars(F.col("padj")))
-
-
 # -- variable features --------------------------------------------------------
 
 
@@ -353,20 +317,10 @@ def _markers(test):
     return query()(run)
 
 
-for _t in ("wilcox", "t", "bimod", "mast", "LR", "negbinom"):
+for _t in ("LR", "negbinom"):
     _markers(_t)
 
 
-@query()
-def find_all_markers(s, d):
-    return mk.find_all_markers(fix.data(s, d), threshold=0.0, return_thresh=1.1)
-
-
-@query()
-def find_conserved_markers(s, d):
-    return mk.find_conserved_markers(fix.data(s, d), GROUP, "batch", ["b0", "b1", "b2"], threshold=0.0)
-
-
 @query()
 def pseudobulk_test(s, d):
     groups = ag.aggregate_expression(fix.counts(s, d), ["ident", "batch"])
@@ -458,12 +412,6 @@ def transfer_labels(s, d):
     return mp.transfer_labels(weights, a.select("cell", F.col("label").alias("class")))
 
 
-@query()
-def integrate_embeddings(s, d):
-    a, b, anchors, _ = _anchor_parts(s, d)
-    return mp.integrate_embeddings(anchors, a, b, 20).select("cell", F.element_at("vec", 1).alias("first"), fx.norm(F.col("vec")).alias("norm"))
-
-
 @query()
 def find_clusters(s, d):
     e = fix.embedding(s, d)
@@ -516,12 +464,12 @@ def pca(s, d):
 
 @query()
 def leverage_scores(s, d):
-    return la.leverage_scores(fix.data(s, d), [f"g{k}" for k in range(6, 60)])
+    return la.leverage_scores(fix.data(s, d))
 
 
 @query()
 def sketch_data(s, d):
-    scores = la.leverage_scores(fix.data(s, d), [f"g{k}" for k in range(6, 60)])
+    scores = la.leverage_scores(fix.data(s, d))
     return la.weighted_sample(scores, 100)
 
 
@@ -599,23 +547,11 @@ _MORAN = """, v AS (SELECT f.feature, c.cell, coalesce(value, 0) AS value FROM (
     k AS (SELECT a.feature, sum(a.z * b.z) / 6.0 AS num FROM space6 s JOIN z a ON a.cell = s.cell JOIN z b ON b.cell = s.nbr AND b.feature = a.feature GROUP BY 1)"""
 
 
-@query(_MORAN + " SELECT feature, round(num / den, 6) + 0.0 AS moransi FROM k JOIN d USING (feature)", "space6", "features", "cells", "data")
-def morans_i(s, d):
-    m = fix.data(s, d)
-    chosen = m.expr.join(m.features.filter("ord between 50 and 59").select("feature"), "feature", "left_semi")
-    return sp.morans_i(chosen, m.cells, sp.knn_weights(fix.centroids(s, d), 6)).select("feature", "moransi")
-
-
 @query("SELECT a.cell AS src, b.cell AS dst, round(1 - ((sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - 4.0) / 1.0) ** 2, 6) AS weight FROM centroids a, centroids b WHERE a.cell <> b.cell AND abs(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - 4.0) < 1.0", "centroids")
 def band_pairs(s, d):
     return sp.band_pairs(fix.centroids(s, d), 4.0, 1.0)
 
 
-@query()
-def mark_variogram(s, d):
-    return sp.mark_variogram(fix.data(s, d).expr, fix.centroids(s, d))
-
-
 @query()
 def niches(s, d):
     near = sp.local_neighborhood(fix.centroids(s, d), fix.cells(s, d).select("cell", F.col("ident").alias("category")), 6)
@@ -641,11 +577,6 @@ def expression_bins(s, d):
     return sc.expression_bins(fix.counts(s, d), 8)
 
 
-@query()
-def cell_cycle(s, d):
-    return sc.cell_cycle(fix.data(s, d), _PROGRAMS["S"], _PROGRAMS["G2M"], n_bins=8, n_control=5)
-
-
 def _tags(s, d):
     """Six tags per customer: the counts of the MT features."""
     m = fix.counts(s, d)
@@ -670,11 +601,6 @@ def hto_demux(s, d):
     return dm.hto_demux(_tags(s, d), samples=5)[0]
 
 
-@query()
-def multiseq_demux(s, d):
-    return dm.multiseq_demux(_tags(s, d))[0]
-
-
 @query(
     """, v AS (SELECT ident AS "group", depth AS value FROM cells), st AS (SELECT "group", count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * count(*) ** -0.2 AS bw FROM v GROUP BY 1),
     g AS (SELECT st.*, i, lo + (hi - lo) * i / 19 AS x FROM st, (SELECT unnest(range(20)) AS i)) SELECT g."group", i, round(any_value(x), 6) AS x, round(sum(exp(-0.5 * ((x - value) / bw) ** 2)) / any_value(n * bw * sqrt(2 * pi())), 6) + 0.0 AS density FROM g JOIN v ON v."group" = g."group" GROUP BY 1, 2""", "cells",
@@ -683,13 +609,6 @@ def density(s, d):
     return dm.density(fix.cells(s, d).select(F.col("ident").alias("group"), F.col("depth").alias("value")), "group", "value", 20)
 
 
-@query()
-def perturbation_signature(s, d):
-    m = fix.data(s, d)
-    e = m.cells.select("cell", "ord", F.array(F.col("depth"), (F.col("ord") % 97).cast("double")).alias("vec"))
-    return sc.perturbation_signature(m, e, m.cells.filter("ident = 'BUILDING'"), ["g50", "g51"], 5)
-
-
 # -- plots ---------------------------------------------------------------------------
 
 
@@ -698,11 +617,6 @@ def violin_medians(s, d):
     return pl.violin(fix.data(s, d), "g15", "ident")[1]
 
 
-@query()
-def violin(s, d):
-    return pl.violin(fix.data(s, d), "g15", "ident", 64)[0]
-
-
 @query(", l AS (SELECT cell, label AS \"group\", vec[1] AS x, vec[2] AS y FROM emb) SELECT \"group\", round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM l GROUP BY 1", "emb")
 def dim_plot_centres(s, d):
     e = fix.embedding(s, d)
@@ -718,15 +632,6 @@ def feature_plot(s, d):
     return pl.feature_plot(m, "g15", m.cells.select("cell", F.array("depth", "depth").alias("vec"))).select("cell", "value", "x", "shown")
 
 
-@query(
-    """SELECT f.feature, c.cell, ident AS "group", row_number() OVER (PARTITION BY f.feature ORDER BY ident, c.ord) AS place, round(least(2.5, coalesce(value, 0)), 6) AS value
-    FROM (SELECT * FROM features WHERE feature IN ('g60', 'g61')) f CROSS JOIN cells c LEFT JOIN data e ON e.feature = f.feature AND e.cell = c.cell""", "features", "cells", "data",
-)
-def heatmap(s, d):
-    m = fix.data(s, d)
-    return pl.heatmap(m.expr, m.cells, ["g60", "g61"], "ident")
-
-
 @query("SELECT image, cell, round(x * 0.5, 6) AS x, round(y * 0.5, 6) AS y, depth AS value, round(3.0 * 0.5 * 1.6, 6) AS radius FROM centroids JOIN cells USING (cell)", "centroids", "cells")
 def image_plot(s, d):
     return pl.image_plot(fix.centroids(s, d), fix.cells(s, d).select("cell", F.col("depth").alias("value")), 0.5, 3.0)

@@ -33,19 +33,32 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def run(df: DataFrame, mode: str = "complete", own_state: bool = False) -> DataFrame:
-    """Runs the stream over all that is there now and returns its result table.
-    Streams with a stateful processor (own_state) need the RocksDB store."""
+    """Runs the stream over all that is there now and returns its result table, which is
+    on shared storage: complete keeps the last batch's table, append and update all
+    batches' rows with their number ``batch``. Streams with a stateful processor
+    (own_state) need the RocksDB store."""
     spark = df.sparkSession
     before = spark.conf.get(PROVIDER)
     if own_state:
         spark.conf.set(PROVIDER, ROCKSDB)
-    name = "stream_" + uuid.uuid4().hex
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    numbers: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number not in numbers:
+            numbers.append(number)
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before)
-    return spark.table(name)
+    if not numbers:
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{path}/batch={max(numbers)}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={k}" for k in sorted(numbers)])
 
 
 def running_counts(records: DataFrame) -> DataFrame:
@@ -82,6 +95,29 @@ def online_votes(records: DataFrame, reference: DataFrame) -> DataFrame:
     return records.join(labels, "nbr").groupBy("cell", "class").agg(F.sum("weight").alias("score"))
 
 
+def late_rows(records: DataFrame, late: str = "1 day") -> DataFrame:
+    """(batch, n, n_late) of each micro-batch of (ts, ...): late are rows older than the
+    largest time of the batches before less ``late``, those that a watermark drops. The
+    driver keeps one time; a batch that is run anew writes its row again, and the row of
+    the last attempt counts."""
+    spark = records.sparkSession
+    path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    seen: dict[int, object] = {}
+
+    def count(batch: DataFrame, number: int) -> None:
+        before = [t for k, t in seen.items() if k < number and t is not None]
+        limit = F.lit(max(before)) - F.expr(f"interval {late}") if before else None
+        is_late = F.col("ts") < limit if before else F.lit(False)
+        row = batch.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_late, 1)).alias("n_late"), F.max("ts").alias("hi")).first()
+        seen[number] = row["hi"]
+        spark.createDataFrame([(number, row["n"], row["n_late"])], "batch long, n long, n_late long").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = records.writeStream.foreachBatch(count).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    numbers = sorted(seen)
+    return spark.read.schema("batch long, n long, n_late long").parquet(*[f"{path}/batch={k}" for k in numbers])
+
+
 class Welford(StatefulProcessor):
     """Running count, mean and sum of squared deviations of each feature."""
 

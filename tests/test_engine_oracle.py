@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparsela.plans import more_queries  # noqa: F401
+from sparsela.plans import more_queries, operator_queries  # noqa: F401
 from sparsela.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
