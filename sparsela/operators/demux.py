@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +61,40 @@ def clara(points: DataFrame, k: int, samples: int = 100, size: int | None = None
         by_sample.setdefault(r["s"], []).append(r["vec"])
     found = [np.array(v)[medoids(np.array(v, dtype=float), k)] for _, v in sorted(by_sample.items()) if len(v) > k]
 
-    def gap(c: np.ndarray):
-        return F.sqrt(sum(((F.element_at("vec", j + 1) - float(x)) ** 2 for j, x in enumerate(c)), F.lit(0.0)))
+    centres = np.stack(found)
 
-    candidates = found
-    while len(candidates) > 1:
-        some = candidates[:8]
-        costs = points.agg(*[F.sum(F.least(*[gap(c) for c in m]) if k > 1 else gap(m[0])).alias(f"c{i}") for i, m in enumerate(some)]).first()
-        candidates = [some[int(np.argmin(list(costs)))], *candidates[8:]]
-    best = candidates[0]
-    distances = F.array(*[gap(c) for c in best])
-    return points.select("cell", (F.array_position(distances, F.array_min(distances)) - 1).cast("long").alias("cluster"))
+    def gaps(vectors: list) -> np.ndarray:
+        """Distances of rows to every medoid of every sample."""
+        x = np.array(vectors, dtype=float).reshape(len(vectors), -1)
+        return np.sqrt(np.maximum(((x[:, None, None, :] - centres[None]) ** 2).sum(axis=3), 0))
 
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres))
+        for b in batches:
+            vectors = b.column(0).to_pylist()
+            for lo in range(0, len(vectors), 512):
+                total += gaps(vectors[lo : lo + 512]).min(axis=2).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["s", "cost"])
 
-def negbinom_quantile(values: np.ndarray, q: float) -> float:
+    sums = points.select("vec").mapInArrow(costs, "s int, cost double").groupBy("s").agg(F.sum("cost").alias("cost")).collect()
+    best = centres[min(sums, key=lambda r: (round(r["cost"], 9), r["s"]))["s"]]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            d = ((x[:, None] - best[None]) ** 2).sum(axis=2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.argmin(axis=1).astype(np.int64))], ["cell", "cluster"])
+
+    return points.select(F.col("cell").cast("string"), "vec").mapInArrow(nearest, "cell string, cluster long")
+
+
+def negbinom_quantile(values: np.ndarray, q: float, weights: np.ndarray | None = None) -> float:
     """The q quantile of a negative binomial fitted by maximum likelihood; of a
-    Poisson where the values are not overdispersed."""
-    mean, var = values.mean(), values.var(ddof=1) if len(values) > 1 else 0.0
+    Poisson where the values are not overdispersed. weights: how often each value is there."""
+    n = np.ones(len(values)) if weights is None else np.asarray(weights, dtype=float)
+    total = n.sum()
+    mean = float((values * n).sum() / total) if total else 0.0
+    var = float((n * (values - mean) ** 2).sum() / (total - 1)) if total > 1 else 0.0
     if mean <= 0:
         return 0.0
     theta = math.inf
@@ -85,20 +103,20 @@ def negbinom_quantile(values: np.ndarray, q: float) -> float:
         for _ in range(100):
             # Newton in log theta on the profile score
             h = 1e-4
-            score = [float((digamma(values + t) - digamma(t) + math.log(t / (t + mean)) + 1 - (values + t) / (t + mean)).sum() * t) for t in (theta, theta * math.exp(h))]
+            score = [float((n * (digamma(values + t) - digamma(t) + math.log(t / (t + mean)) + 1 - (values + t) / (t + mean))).sum() * t) for t in (theta, theta * math.exp(h))]
             slope = (score[1] - score[0]) / h
             step = -score[0] / slope if slope < 0 else math.copysign(0.5, score[0])
             theta *= math.exp(min(1.0, max(-1.0, step)))
             if abs(step) < 1e-8 or theta > 1e8:
                 break
-    total, k = 0.0, 0
+    below, k = 0.0, 0
     while True:
         if theta > 1e8:
             log_p = -mean + k * math.log(mean) - math.lgamma(k + 1)
         else:
             log_p = float(lgamma(k + theta) - lgamma(theta)) - math.lgamma(k + 1) + theta * math.log(theta / (theta + mean)) + k * math.log(mean / (theta + mean))
-        total += math.exp(log_p)
-        if total >= q or k > 10_000_000:
+        below += math.exp(log_p)
+        if below >= q or k > 10_000_000:
             return float(k)
         k += 1
 
@@ -158,7 +176,7 @@ def hto_demux(m: Matrix, quantile: float = 0.99, margin: int = 1, method: str =
     for r in background.collect():
         by_tag.setdefault(r["feature"], []).append((r["value"], r["n"]))
     for tag, pairs in by_tag.items():
-        cutoffs[tag] = negbinom_quantile(np.concatenate([np.full(int(n), v) for v, n in pairs]), quantile)
+        cutoffs[tag] = negbinom_quantile(np.array([v for v, _ in pairs]), quantile, np.array([n for _, n in pairs]))
     limit = m.expr.sparkSession.createDataFrame(list(cutoffs.items()), "feature string, cutoff double")
     positive = counts.join(F.broadcast(limit), "feature").filter("value > cutoff").select("cell", "feature")
     return call_cells(data, positive, m.features), cutoffs

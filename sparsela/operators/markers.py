@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_p, chi2_sf, normal_p, t_p
+from ..functions.special import chi2_p, chi2_sf, normal_p, normal_two_sided, t_p
+from . import regression
 from .matrix import Matrix
 
 PSEUDOCOUNT = 1.0
@@ -132,93 +133,45 @@ def hurdle(sums: DataFrame) -> DataFrame:
     return sums.withColumn("lrt", F.when(has_d, discrete).otherwise(0.0) + F.when(has_l, level).otherwise(0.0)).withColumn("df", df)
 
 
-def _irls(y: np.ndarray, x: np.ndarray) -> float:
-    """Deviance of a logistic regression."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(50):
-        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = np.maximum(mu * (1 - mu), 1e-10)
-        step = np.linalg.lstsq((x * w[:, None]).T @ x, x.T @ (y - mu), rcond=None)[0]
-        beta += step
-        if np.abs(step).max() < 1e-9:
-            break
-    mu = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), 1e-12, 1 - 1e-12)
-    return float(-2 * (y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum())
+TESTS = ("wilcox", "roc", "t", "bimod", "mast", "LR", "negbinom")
 
 
-def _lr_p(value: np.ndarray, group: np.ndarray, latent: np.ndarray) -> float:
-    one = np.ones((len(value), 1))
-    gain = _irls(group, np.hstack([one, latent])) - _irls(group, np.hstack([one, value[:, None], latent]))
-    return float(chi2_sf(np.array([gain]), 1)[0]) if math.isfinite(gain) and gain > 0 else 1.0
-
-
-def _nb_loglik(y: np.ndarray, mu: np.ndarray, theta: float) -> float:
-    from ..functions.special import lgamma
-
-    return float((lgamma(y + theta) - lgamma(theta) - lgamma(y + 1) + theta * np.log(theta / (theta + mu)) + np.where(y > 0, y * np.log(mu / (theta + mu)), 0)).sum())
-
-
-def _negbinom_p(value: np.ndarray, group: np.ndarray, latent: np.ndarray) -> float:
-    """Wald p of the group in a negative binomial regression, its dispersion by a
-    golden search of the profile likelihood."""
-    from ..functions.special import normal_two_sided
-
-    if value.mean() == 0:
-        return 1.0
-    x = np.hstack([np.ones((len(value), 1)), group[:, None], latent])
-
-    def fit(theta: float) -> tuple[np.ndarray, np.ndarray]:
-        beta = np.zeros(x.shape[1])
-        beta[0] = math.log(value.mean())
-        for _ in range(50):
-            mu = np.exp(np.clip(x @ beta, -30, 30))
-            w = mu / (1 + mu / theta)
-            step = np.linalg.lstsq((x * w[:, None]).T @ x, x.T @ ((value - mu) / (1 + mu / theta)), rcond=None)[0]
-            beta += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-8:
-                break
-        return beta, np.exp(np.clip(x @ beta, -30, 30))
-
-    lo, hi, golden = math.log(1e-3), math.log(1e5), (math.sqrt(5) - 1) / 2
-    for _ in range(40):
-        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        if _nb_loglik(value, fit(math.exp(a))[1], math.exp(a)) > _nb_loglik(value, fit(math.exp(b))[1], math.exp(b)):
-            hi = b
-        else:
-            lo = a
-    theta = math.exp((lo + hi) / 2)
-    beta, mu = fit(theta)
-    information = (x * (mu / (1 + mu / theta))[:, None]).T @ x
-    try:
-        se = math.sqrt(np.linalg.inv(information)[1, 1])
-    except (np.linalg.LinAlgError, ValueError):
-        return 1.0
-    p = float(normal_two_sided(np.array([beta[1] / se]))[0])
-    return p if math.isfinite(p) else 1.0
+def regression_test(m: Matrix, groups: DataFrame, survivors: DataFrame, test: str, latent: Sequence[str] = ()) -> DataFrame:
+    """(feature, p) of a model per feature (LR, negbinom, or mast with covariates), with
+    metadata columns as covariates. All features are fitted together in rounds of sums;
+    without covariates negbinom needs counts by feature, group and value only."""
+    spark = m.expr.sparkSession
+    if test == "negbinom" and not latent:
+        return _negbinom_from_counts(m, groups, survivors)
+    names = [r[0] for r in survivors.select("feature", "ord").orderBy("ord").collect()]
+    if not names:
+        return spark.createDataFrame([], "feature string, p double")
+    rounds = regression.Rounds(m, groups, names, latent)
+    if test == "mast":
+        statistic, df = regression.hurdle_with_covariates(rounds, len(latent))
+        p = np.where(df > 0, chi2_sf(statistic, np.maximum(df, 1.0)), 1.0)
+    elif test == "LR":
+        gain = regression.logistic_gain(rounds, len(latent))
+        p = np.where(np.isfinite(gain) & (gain > 0), chi2_sf(np.maximum(np.nan_to_num(gain), 0.0), 1.0), 1.0)
+    else:
+        z = regression.negative_binomial_wald(rounds, len(latent))
+        p = np.where(np.isfinite(z), normal_two_sided(np.nan_to_num(z)), 1.0)
+    return spark.createDataFrame([(f, float(x)) for f, x in zip(names, p, strict=True)], "feature string, p double")
 
 
-def regression_test(m: Matrix, groups: DataFrame, survivors: DataFrame, test: str, latent: Sequence[str] = ()) -> DataFrame:
-    """(feature, p) of a model per feature (LR or negbinom), with metadata columns
-    as covariates. A feature's cells are one group in a task: its size is the
-    number of cells of the two groups, packed as values in cell order."""
-    kernel: Callable = {"LR": _lr_p, "negbinom": _negbinom_p}[test]
-    cells = groups.join(m.cells.select("cell", *latent), "cell").orderBy("cell").toPandas()
-    order = {c: k for k, c in enumerate(cells["cell"])}
-    group = (cells["grp"] == 1).to_numpy(dtype=float)
-    covariates = cells[list(latent)].to_numpy(dtype=float).reshape(len(cells), -1)
+def _negbinom_from_counts(m: Matrix, groups: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Zeros are counted from the groups' sizes."""
+    stored = m.expr.join(survivors.select("feature"), "feature", "left_semi").join(groups, "cell").groupBy("feature", (F.col("grp") == 1).cast("double").alias("one"), "value").agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy((F.col("grp") == 1).cast("double").alias("one")).agg(F.count(F.lit(1)).alias("size"))
+    seen = stored.groupBy("feature", "one").agg(F.sum("n").alias("k"))
+    zeros = survivors.select("feature").join(sizes).join(seen, ["feature", "one"], "left").select("feature", "one", F.lit(0.0).alias("value"), (F.col("size") - F.coalesce("k", F.lit(0))).alias("n"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        value = np.zeros(len(order))
-        rows = rows[rows["cell"].notna()]
-        value[[order[c] for c in rows["cell"]]] = rows["value"]
-        try:
-            p = kernel(value, group, covariates)
-        except (np.linalg.LinAlgError, FloatingPointError):
-            p = 1.0
-        return pd.DataFrame({"feature": [key[0]], "p": [p]})
+        z = regression.negative_binomial_by_counts(*(rows[c].to_numpy(dtype=float) for c in ("value", "one", "n")))
+        return pd.DataFrame({"feature": [key[0]], "p": [float(normal_two_sided(np.array([z]))[0]) if math.isfinite(z) else 1.0]})
 
-    chosen = m.expr.join(groups.select("cell"), "cell", "left_semi")
-    return survivors.select("feature").join(chosen, "feature", "left").groupBy("feature").applyInPandas(run, "feature string, p double")
+    every = stored.select("feature", "one", "value", "n").unionByName(zeros).filter("n > 0")
+    return every.groupBy("feature").applyInPandas(run, "feature string, p double")
 
 
 def find_markers(
@@ -227,7 +180,10 @@ def find_markers(
 ) -> DataFrame:
     """(feature, p, avg_log2FC, pct_1, pct_2, p_adj) sorted by p; for roc
     (feature, auc, power, avg_diff, ...) by power. Bonferroni over all features of
-    the layer. ``counts`` is the layer of the count models (default: m itself)."""
+    the layer. ``counts`` is the layer of the count models (default: m itself); latent
+    names covariates of LR, negbinom and mast."""
+    if test not in TESTS:
+        raise ValueError(f"no test {test!r}: choose from {TESTS}")
     groups = two_groups(m, first, second, column, max_cells)
     sums = fold_changes(group_sums(m, groups), min_pct, threshold)
     if test in ("wilcox", "roc"):

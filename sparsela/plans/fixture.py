@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import Matrix, from_triplets
 from ..operators.normalize import log_normalize
+from .store import _exists, shared_folder
 
 N_FEATURES = 120
 
@@ -31,8 +35,27 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where the layers of an application and folder of tables are written.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A layer is written to shared storage once for an application, and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN or not _exists(spark, _WRITTEN[key]):
+        path = f"{shared_folder(spark)}/layer-{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema("feature string, cell string, value double").parquet(_WRITTEN[key])
+
+
 def counts(spark: SparkSession, sf_dir: str) -> Matrix:
     """What each customer (cell) ordered of each of 120 groups of parts (features)."""
+    expr = _layer(spark, sf_dir, "counts", lambda: _counts(spark, sf_dir).expr.select("feature", "cell", "value"))
+    return Matrix(expr, features(spark), cells(spark, sf_dir))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> Matrix:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -42,7 +65,8 @@ def counts(spark: SparkSession, sf_dir: str) -> Matrix:
 
 
 def data(spark: SparkSession, sf_dir: str) -> Matrix:
-    return log_normalize(counts(spark, sf_dir))
+    m = counts(spark, sf_dir)
+    return m.of(_layer(spark, sf_dir, "data", lambda: log_normalize(m).expr.select("feature", "cell", "value")), "data")
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -598,7 +598,7 @@ def call_cells(s, d):
 
 @query()
 def hto_demux(s, d):
-    return dm.hto_demux(_tags(s, d), samples=5)[0]
+    return dm.hto_demux(_tags(s, d))[0]
 
 
 @query(

@@ -404,6 +404,6 @@ def test_modularity_raises_above_its_bound(spark):
 
 def test_mark_variogram_query_has_all_features(spark, sf_dir):
     from sparsela.plans import fixture as fix
-    from sparsela.plans.queries import mark_variogram
+    from sparsela.plans.operator_queries import mark_variogram
 
     assert mark_variogram(spark, sf_dir).count() == fix.data(spark, sf_dir).expr.select("feature").distinct().count()
