@@ -32,6 +32,7 @@ class Catalog:
     tools: dict = field(default_factory=dict)
     commands: list[dict] = field(default_factory=list)
     keys: dict[str, str] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def create(cls, m: Matrix, assay: str = "RNA", min_cells: int = 0, min_features: int = 0, metadata: DataFrame | None = None, project: str = "project") -> Catalog:
@@ -95,10 +96,13 @@ class Catalog:
         return out
 
     def merge(self, others: list[Catalog], prefixes: list[str]) -> Catalog:
-        """Cells of all, by prefix; assays that all have. Reductions, graphs and images
-        are not carried over."""
+        """Cells of all, by prefix; assays that all have, of the same kind (layered, or
+        fixed with its three layers). Reductions, graphs and images are not carried over."""
         every = [self, *others]
         shared = [a for a in self.features if all(a in o.features for o in others)]
+        mixed = [a for a in shared if len({c.kinds.get(a, "layered") for c in every}) > 1]
+        if mixed:
+            raise ValueError(f"assays of different kinds can't be merged: {mixed}")
         out = None
         layers, features = {}, {}
         for a in shared:

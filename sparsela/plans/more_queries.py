@@ -26,6 +26,11 @@ from .queries import _WEIGHTS, GROUP, _anchor_parts, query
 SOME = [f"MT-{k}" for k in range(6)] + [f"g{k}" for k in range(6, 120)]
 
 
+def _two(df, key="cell"):
+    """The first two coordinates, in size: signs of components are free."""
+    return df.select(key, *[F.round(F.abs(F.element_at("vec", k)), 4).alias(f"v{k}") for k in (1, 2)])
+
+
 def _parts(s, d):
     m = fix.data(s, d)
     return [mx.subset(m, cells=m.cells.filter(F.col("batch") == b)) for b in ("b0", "b1")]
@@ -183,7 +188,7 @@ def integration_anchors_rpca(s, d):
 def integrate_layers(s, d):
     m = fix.data(s, d)
     out = wf.integrate_layers(m, la.run_pca(m, SOME, 6)["cells"], "batch", SOME, "rpca", 6, 20)
-    return out.select("cell", F.size("vec").alias("dims"))
+    return _two(out)
 
 
 @query()
@@ -195,27 +200,28 @@ def map_query(s, d):
 @query()
 def project_data(s, d):
     m = fix.data(s, d)
-    sketch = wf.sketch_data(m, SOME, 60, "uniform")
+    sketch = wf.sketch_data(m, SOME, 500, "uniform")
     return wf.project_data(m, sketch, SOME, m.cells.select("cell", F.col("ident").alias("class")), 6, 10)
 
 
 @query()
 def sctransform(s, d):
-    return md.sctransform(fix.counts(s, d), n_genes=100, n_cells=500)["variances"].select("feature", F.round("residual_variance", 4).alias("residual_variance"))
+    return md.sctransform(fix.counts(s, d))["variances"].select("feature", F.round("residual_variance", 4).alias("residual_variance"))
 
 
 @query()
 def discriminants(s, d):
     m = fix.data(s, d)
     e = la.run_pca(m, SOME, 4)["cells"].select("cell", "vec")
-    return md.discriminants(e, m.cells.select("cell", F.col("ident").alias("label")), 4).select("cell", F.size("vec").alias("dims"))
+    return _two(md.discriminants(e, m.cells.select("cell", F.col("ident").alias("label")), 4))
 
 
 @query()
 def mixscape(s, d):
     m = fix.data(s, d)
     cells = m.cells.select("cell", F.when(F.col("ident") == "BUILDING", "NT").otherwise(F.col("ident")).alias("target"))
-    de = s.createDataFrame([(t, f"g{k}") for t in ("MACHINERY", "FURNITURE") for k in range(10, 16)], "target string, feature string")
+    targets = [r[0] for r in cells.select("target").distinct().filter("target <> 'NT'").collect()]
+    de = s.createDataFrame([(t, f) for t in sorted(targets) for f in SOME], "target string, feature string")
     return md.mixscape(m.expr, cells, "NT", de).select("cell", "target", "call")
 
 
@@ -226,30 +232,52 @@ def fuzzy_graph(s, d):
 
 @query()
 def jack_straw(s, d):
-    return la.jack_straw(fix.data(s, d), SOME, 3, 10)
+    return la.jack_straw(fix.data(s, d), SOME, 3)
 
 
 @query()
 def ica(s, d):
     e = la.run_pca(fix.data(s, d), SOME, 4)["cells"]
-    return la.run_ica(e, 3).select("cell", F.size("vec").alias("dims"))
+    return _two(la.run_ica(e, 3))
 
 
 @query()
 def spca(s, d):
     m = fix.data(s, d)
     graph = nb.knn_graph(nb.knn(la.run_pca(m, SOME, 4)["cells"], 5))
-    return la.run_spca(m, graph, SOME, 3)["loadings"].select("feature", F.size("vec").alias("dims"))
+    return _two(la.run_spca(m, graph, SOME, 3)["loadings"], "feature")
 
 
 @query()
 def clara(s, d):
     from ..operators import demux as dm
 
-    return dm.clara(fix.embedding(s, d).select("cell", "vec"), 4, 10)
+    return dm.clara(fix.embedding(s, d).select("cell", "vec"), 4)
 
 
 @query()
 def find_clusters_leiden(s, d):
     e = fix.embedding(s, d)
     return cl.find_clusters(nb.snn_graph(nb.knn(e, 10), 10), e, [0.8], algorithm=4)
+
+
+@query()
+def run_tsne(s, d):
+    return _two(md.run_tsne(fix.embedding(s, d), rounds=250))
+
+
+@query()
+def run_umap(s, d):
+    e = fix.embedding(s, d)
+    return _two(md.run_umap(e, md.fuzzy_graph(nb.knn(e, 10)), rounds=100))
+
+
+@query()
+def glm_pca(s, d):
+    return _two(md.glm_pca(fix.counts(s, d), SOME, 2, rounds=20)[0])
+
+
+@query()
+def top_dim_features(s, d):
+    names = la.top_dim_features(la.run_pca(fix.data(s, d), SOME, 5)["loadings"], 20, 40)
+    return s.createDataFrame([(f,) for f in names], "feature string")

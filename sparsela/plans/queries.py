@@ -477,15 +477,15 @@ def sketch_data(s, d):
 def cca(s, d):
     m = fix.data(s, d)
     parts = [mx.subset(m, m.cells.filter(F.col("batch") == b)) for b in ("b0", "b1")]
-    out = la.cca(*parts, [f"g{k}" for k in range(6, 60)], 5)
-    return out.select("dataset", "cell", fx.norm(F.col("vec")).alias("norm"))
+    out = la.cca(*parts, la.feature_list(m), 5)
+    return out.select("dataset", "cell", *[F.round(F.abs(F.element_at("vec", k)), 4).alias(f"v{k}") for k in (1, 2)])
 
 
 @query()
 def harmony(s, d):
     e = fix.embedding(s, d)
-    out = la.run_harmony(e.withColumn("vec", F.slice("vec", 1, 10)), e.select("cell", F.concat(F.lit("b"), (F.col("ord") % 2).cast("string")).alias("batch")), rounds=4)
-    return out.select("cell", F.size("vec").alias("dims"))
+    out = la.run_harmony(e, e.select("cell", F.concat(F.lit("b"), (F.col("ord") % 2).cast("string")).alias("batch")))
+    return out.select("cell", *[F.round(F.element_at("vec", k), 4).alias(f"v{k}") for k in (1, 2)])
 
 
 # -- spatial -----------------------------------------------------------------------

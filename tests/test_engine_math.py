@@ -8,7 +8,7 @@ import pytest
 from sparsela.functions import special as f
 from sparsela.operators.clustering import Leiden, Louvain, resolution_label
 from sparsela.operators.demux import medoids, negbinom_quantile
-from sparsela.operators.models import nb_theta, two_normals
+from sparsela.operators.models import nb_theta, second_normal
 from sparsela.operators.plots import hue_palette
 from sparsela.operators.variable import loess
 
@@ -48,12 +48,15 @@ def test_theta_and_quantile():
     assert negbinom_quantile(np.zeros(5), 0.99) == 0 and negbinom_quantile(np.full(50, 4.0), 0.99) >= 7
 
 
-def test_two_normals_part():
+def test_second_normal():
     rng = np.random.default_rng(2)
-    x = np.concatenate([rng.normal(0, 1, 200), rng.normal(6, 1, 60), rng.normal(0, 1, 40)])
-    known = np.arange(300) < 200
-    post = two_normals(x, known)
-    assert (post[200:260] > 0.5).mean() > 0.95 and (post[260:] > 0.5).mean() < 0.1
+    first = rng.normal(0, 1, 200)
+    x = np.concatenate([rng.normal(6, 1, 60), rng.normal(0, 1, 40)])
+    post = second_normal(x, float(first.mean()), float(first.std()))
+    assert (post[:60] > 0.5).mean() > 0.95 and (post[60:] > 0.5).mean() < 0.1
+    assert second_normal(np.array([1.0]), 0, 1).tolist() == [0.0]
+    weighted = negbinom_quantile(np.array([0.0, 3.0, 9.0]), 0.9, np.array([50, 30, 20]))
+    assert weighted == negbinom_quantile(np.repeat([0.0, 3.0, 9.0], [50, 30, 20]), 0.9)
 
 
 def test_medoids():

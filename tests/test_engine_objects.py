@@ -294,6 +294,8 @@ def test_catalog(planted, reduced, tmp_path):
     assert renamed.graphs["snn"].filter("src not like 'n%' or dst not like 'n%'").count() == 0
     assert renamed.neighbors["nn"].filter("cell not like 'n%' or nbr not like 'n%'").count() == 0
     both = obj.merge([obj], ["a", "b"])
+    with pytest.raises(ValueError, match="kinds"):
+        obj.merge([obj.copy(kinds={"RNA": "fixed"})], ["a", "b"])
     assert len(both) == 2 * len(obj) and both.matrix("counts").expr.count() == 2 * obj.layers["RNA", "counts"].count()
     assert obj.command_table().first()["key"] == "normalize.RNA" and "ident" in obj["ident"].columns
     with pytest.raises(ValueError):
