@@ -35,9 +35,33 @@ def cell_rows(m: Matrix, names: Sequence[str]) -> DataFrame:
     return rows.select("cell", F.col("_e.i").alias("at"), F.col("_e.value").alias("value"))
 
 
+def _as_rows(total: np.ndarray) -> pa.RecordBatch:
+    """(row, x) of a matrix, one list a row."""
+    n, p = total.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * p + 1, p, dtype=np.int32)), pa.array(total.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), lists], ["row", "x"])
+
+
+def summed(parts: DataFrame, p: int) -> np.ndarray:
+    """The sum of matrices of p columns, given by tasks as (row, x): rows meet by their
+    number as whole lists, and only p*p numbers reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            values = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            for row, x in zip(b.column(0).to_pylist(), values, strict=True):
+                total[row] = total[row] + x if row in total else x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["row", "x"])
+
+    out = np.zeros((p, p))
+    for r in parts.repartition("row").mapInArrow(add, "row int, x array<double>").collect():
+        out[r["row"]] = r["x"]
+    return out
+
+
 def gram(rows: DataFrame, p: int) -> np.ndarray:
-    """Sum of x x' over sparse rows: dense partial sums per task, added up by column
-    in Spark, so that no more than p*p numbers reach the driver at once."""
+    """Sum of x x' over sparse rows: dense partial sums per task, added up by row."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((p, p))
@@ -47,14 +71,9 @@ def gram(rows: DataFrame, p: int) -> np.ndarray:
             for k, (i, v) in enumerate(zip(at, values, strict=True)):
                 dense[k, i] = v
             total += dense.T @ dense
-        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["row", "x"])
+        yield _as_rows(total)
 
-    parts = rows.select("at", "value").mapInArrow(partial, "row int, x array<double>")
-    sums = parts.select("row", F.posexplode("x").alias("j", "x")).filter("x <> 0").groupBy("row", "j").agg(F.sum("x").alias("x"))
-    out = np.zeros((p, p))
-    for r in sums.collect():
-        out[r["row"], r["j"]] = r["x"]
-    return out
+    return summed(rows.select("at", "value").mapInArrow(partial, "row int, x array<double>"), p)
 
 
 def run_pca(m: Matrix, features: Sequence[str] | None = None, n_pcs: int = 50, scale: bool = True) -> dict:
@@ -125,13 +144,9 @@ def run_spca(m: Matrix, edges: DataFrame, features: Sequence[str], n_pcs: int =
         for b in batches:
             for w, ai, av, bi, bv in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
                 total[np.ix_(ai, bi)] += w * np.outer(av, bv)
-        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["row", "x"])
+        yield _as_rows(total)
 
-    parts = pairs.select("w", "ai", "av", "bi", "bv").mapInArrow(partial, "row int, x array<double>")
-    sums = parts.select("row", F.posexplode("x").alias("j", "x")).filter("x <> 0").groupBy("row", "j").agg(F.sum("x").alias("x")).collect()
-    a = np.zeros((p, p))
-    for r in sums:
-        a[r["row"], r["j"]] = r["x"]
+    a = summed(pairs.select("w", "ai", "av", "bi", "bv").mapInArrow(partial, "row int, x array<double>"), p)
     values, vectors = np.linalg.eigh((a + a.T) / 2)
     order = np.argsort(values)[::-1][: min(n_pcs, p)]
     basis = vectors[:, order]
@@ -175,7 +190,7 @@ def run_ica(embedding: DataFrame, n: int, rounds: int = 200, tol: float = 1e-6,
     return embedding.select("cell", "ord", F.array(*cols).alias("vec"))
 
 
-def leverage_scores(m: Matrix, features: Sequence[str], n_sketch: int = 5000, dims: int = 50, eps: float = 0.5, seed: int = 123) -> DataFrame:
+def leverage_scores(m: Matrix, features: Sequence[str] | None = None, n_sketch: int = 5000, dims: int = 50, eps: float = 0.5, seed: int = 123) -> DataFrame:
     """(cell, score): squared row norms of the left singular vectors. Exact over the
     leading components for few cells; else a signed hash sketch of the cells, its QR,
     and a random projection."""
