@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import PRUNE_TEXTS, SpanHasher, bound_batches, discard, mix64, settings, shingle_set, staged, values_of, white_space
 from .components import connected_components
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary, members binary"
+SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
 def _minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,6 +26,10 @@ def _minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def _sketcher(k: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20)
@@ -35,7 +39,7 @@ def _sketcher(k: int, bands: int, rows: int) -> Callable:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         hasher, space = SpanHasher(fold=True), white_space()
         for batch in batches:
-            sizes, keys, band_keys, sketches, sets = [], [], [], [], []
+            sizes, keys, band_keys, sketches = [], [], [], []
             for text in values_of(batch.column(1)):
                 values = shingle_set(text, k, hasher, space)
                 sizes.append(len(values))
@@ -43,25 +47,36 @@ def _sketcher(k: int, bands: int, rows: int) -> Callable:
                     keys.append(None)
                     band_keys.append([])
                     sketches.append(None)
-                    sets.append(None)
                     continue
-                raw = values.tobytes()
-                keys.append(hashlib.blake2b(raw, digest_size=16).digest())
+                keys.append(_set_key(values))
                 low = _minima(values, a, b)
                 folded = salt.copy()
                 for j in range(rows):
                     folded = mix64(folded * np.uint64(0x9E3779B97F4A7C15) + low[j::rows])
                 band_keys.append(folded.view(np.int64))
                 sketches.append((mix64(low) >> np.uint64(56)).astype(np.uint8).tobytes())
-                sets.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch", "members"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     return run
 
 
+def _sets(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, space = SpanHasher(fold=True), white_space()
+        for batch in batches:
+            keys, sets = [], []
+            for text in values_of(batch.column(1)):
+                values = shingle_set(text, k, hasher, space)
+                keys.append(_set_key(values))
+                sets.append(values.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "set_key", "members"])
+
+    return run
+
+
 def spanning_pairs(ids: np.ndarray, sketches: np.ndarray, cut: float, sure: float, best: int) -> list[tuple[int, int]]:
     """Proposed links of one block, linear in its size.
 
@@ -296,13 +311,13 @@ def near_duplicates(
     documents are linked when 100*|A & B| >= percent*|A | B|; component_id is the
     smallest id reachable by links, class_id the smallest id with an equal set.
 
-    1. Each text is read once: its set, a 128-bit digest of the set, bands*rows
+    1. Each text is read once: set size, a 128-bit digest of the set, bands*rows
        universal hash minima folded into band keys, and a one-byte sketch of each
-       minimum. The table is written to shared storage, and the texts are not
-       read again.
+       minimum. The table is written to shared storage.
     2. Documents with equal sets collapse to their smallest id.
     3. Band keys with two different sets or more are buckets. Buckets with the
-       same members are one.
+       same members are one. The full sets of the documents in buckets are written
+       once, from a second reading of their texts.
     4. Proposals: in the buckets of the ``first_bands`` first bands a maximum spanning
        tree over sketch similarities proposes pairs, a few for each member. A
        bucket larger than ``block`` is split by hash into blocks which all see the
@@ -331,7 +346,7 @@ def near_duplicates(
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bound_batches(spark)
-    sketch = staged(whole.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash", compression="none")
+    sketch = staged(whole.mapInArrow(_sketcher(shingle_words, bands, rows), SKETCH), "minhash")
     known = sketch.filter("set_key is not null and doc_id is not null")
     digest = F.xxhash64("set_key")
     classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id")).withColumn("print", digest), "minhash-classes")
@@ -359,13 +374,16 @@ def near_duplicates(
             "minhash-distinct",
         )
         placed = staged(found.drop("band").join(distinct, "bucket"), "minhash-placed")
-        heads = classes.select("set_key", F.col("class_id").alias("doc_id")).join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+        chosen = placed.select("doc_id").distinct()
+        heads = staged(classes.select("set_key", F.col("class_id").alias("doc_id")).join(chosen, "doc_id", "left_semi"), "minhash-heads")
         sets = staged(
-            known.select("doc_id", "set_key", "n_shingles", "sketch", "members").join(heads, ["doc_id", "set_key"], "left_semi")
-            .withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "set_key").orderBy("n_shingles"))).filter("nth = 1").drop("nth", "set_key"),
+            whole.join(heads.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, set_key binary, members binary")
+            .join(heads, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "members"),
             "minhash-sets", compression="none",
         )
-        members = staged(placed.join(sets.drop("members"), "doc_id"), "minhash-members")
+        sketches = known.select("doc_id", "set_key", "n_shingles", "sketch").join(heads, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).drop("set_key")
+        members = staged(placed.join(sketches, "doc_id"), "minhash-members")
+        thin = staged(sketch.select("doc_id", "n_shingles", "set_key"), "minhash-thin")
 
     parts = F.ceil(F.col("n") / F.lit(block)).cast("long")
     pivot = F.pmod(F.xxhash64("bucket", "doc_id"), F.col("n")) < pivots
@@ -390,17 +408,15 @@ def near_duplicates(
             "minhash-links",
         )
     roots = connected_components(links)
-    own = sets.select("doc_id", "members")
     open_ = staged(_unlinked(members.select("bucket", "doc_id", "n_shingles"), roots), "minhash-open")
     if not open_.isEmpty():
-        more = _compared(_with_main(open_, block, block_shingles), own, percent, "minhash-main")
+        more = _compared(_with_main(open_, block, block_shingles), sets, percent, "minhash-main")
         roots = _joined(roots, more)
-        more = _compared(_among_outside(open_.filter("root <> main"), roots, block, block_shingles), own, percent, "minhash-outside")
+        more = _compared(_among_outside(open_.filter("root <> main"), roots, block, block_shingles), sets, percent, "minhash-outside")
         roots = _joined(roots, more)
-    discard(buckets, found, distinct, placed, sets, members, pairs, links, open_)
+    discard(sketch, buckets, found, distinct, placed, heads, sets, members, pairs, links, open_)
     out = (
-        sketch.select("doc_id", "n_shingles", "set_key")
-        .join(classes, "set_key", "left")
+        thin.join(classes, "set_key", "left")
         .join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
     )
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "class_id", "doc_id"))
