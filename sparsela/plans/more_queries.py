@@ -32,8 +32,9 @@ def _two(df, key="cell"):
 
 
 def _parts(s, d):
+    """Two datasets: the first batch and the others."""
     m = fix.data(s, d)
-    return [mx.subset(m, cells=m.cells.filter(F.col("batch") == b)) for b in ("b0", "b1")]
+    return [mx.subset(m, cells=m.cells.filter(x)) for x in ("batch = 'b0'", "batch <> 'b0'")]
 
 
 @query("SELECT src, dst, round(weight, 6) AS weight FROM snn WHERE src IN (SELECT cell FROM emb WHERE ord % 3 = 0) AND dst IN (SELECT cell FROM emb WHERE ord % 3 = 0)", "snn")

@@ -476,7 +476,7 @@ def sketch_data(s, d):
 @query()
 def cca(s, d):
     m = fix.data(s, d)
-    parts = [mx.subset(m, m.cells.filter(F.col("batch") == b)) for b in ("b0", "b1")]
+    parts = [mx.subset(m, m.cells.filter(x)) for x in ("batch = 'b0'", "batch <> 'b0'")]
     out = la.cca(*parts, la.feature_list(m), 5)
     return out.select("dataset", "cell", *[F.round(F.abs(F.element_at("vec", k)), 4).alias(f"v{k}") for k in (1, 2)])
 

@@ -16,15 +16,18 @@ from sparsela.operators import spatial as sp
 from sparsela.streaming import running as st
 
 
+N = 140
+
+
 @pytest.fixture(scope="module")
 def counted(spark):
-    """60 cells, a covariate that drives f0, a group that drives f1, noise in f2."""
+    """140 cells, a covariate that drives f0, a group that drives f1, noise in f2."""
     rng = np.random.default_rng(11)
-    x = rng.normal(0, 1, 60)
-    group = np.arange(60) % 2
-    y = np.stack([rng.poisson(np.exp(0.5 + 1.2 * x)), rng.poisson(np.exp(0.2 + 1.5 * group)), rng.poisson(1.5, 60)]).astype(float)
-    rows = [(f"f{i}", f"c{j:02d}", float(y[i, j])) for i in range(3) for j in range(60) if y[i, j]]
-    cells = spark.createDataFrame([(f"c{j:02d}", j, f"t{group[j]}", float(x[j]), 1.0) for j in range(60)], "cell string, ord long, ident string, x double, one double")
+    x = rng.normal(0, 1, N)
+    group = np.arange(N) % 2
+    y = np.stack([rng.poisson(np.exp(-0.3 + 0.6 * x)), rng.poisson(np.exp(-0.5 + group)), rng.poisson(0.8, N)]).astype(float)
+    rows = [(f"f{i}", f"c{j:03d}", float(y[i, j])) for i in range(3) for j in range(N) if y[i, j]]
+    cells = spark.createDataFrame([(f"c{j:03d}", j, f"t{group[j]}", float(x[j]), 1.0) for j in range(N)], "cell string, ord long, ident string, x double, one double")
     features = spark.createDataFrame([(f"f{i}", i) for i in range(3)], "feature string, ord long")
     return mx.from_triplets(spark.createDataFrame(rows, "feature string, cell string, value double"), features, cells), y, x, group
 
@@ -44,8 +47,8 @@ def logistic(y, x):
 
 def test_logistic_against_one_feature_at_a_time(counted):
     m, y, x, group = counted
-    one = np.ones((60, 1))
-    for latent, extra in (((), np.empty((60, 0))), (("x",), x[:, None])):
+    one = np.ones((N, 1))
+    for latent, extra in (((), np.empty((N, 0))), (("x",), x[:, None])):
         got = p_of(m, "LR", latent=latent)
         for i in range(3):
             gain = logistic(group, np.hstack([one, extra])) - logistic(group, np.hstack([one, y[i][:, None], extra]))
@@ -56,12 +59,12 @@ def test_hurdle_with_covariates(counted):
     m, y, x, group = counted
     plain, same, real = p_of(m, "mast"), p_of(m, "mast", latent=("one",)), p_of(m, "mast", latent=("x",))
     assert same == {f: pytest.approx(p, abs=1e-8) for f, p in plain.items()}
-    one = np.ones((60, 1))
+    one = np.ones((N, 1))
     for i in range(3):
         seen = y[i] > 0
         null, full = np.hstack([one, x[:, None]]), np.hstack([one, group[:, None], x[:, None]])
         statistic, df = 0.0, 0
-        if 0 < seen.sum() < 60 and (gain := logistic(seen, null) - logistic(seen, full)) > 1e-9:
+        if 0 < seen.sum() < N and (gain := logistic(seen, null) - logistic(seen, full)) > 1e-9:
             statistic, df = gain, 1
         rss = [((y[i][seen] - d[seen] @ np.linalg.lstsq(d[seen], y[i][seen], rcond=None)[0]) ** 2).sum() for d in (null, full)]
         statistic, df = statistic + seen.sum() * math.log(rss[0] / rss[1]), df + 1
@@ -109,11 +112,11 @@ def test_grid_gives_the_same_neighbours(spark, shape):
 def test_blocks_and_arrays(spark, counted):
     m, y, _, _ = counted
     blocks = list(mx.col_blocks(m, 25))
-    assert [k for k, _ in blocks] == [0, 1, 2] and [b.n_cells for _, b in blocks] == [25, 25, 10]
+    assert [k for k, _ in blocks] == [0, 1, 2, 3, 4, 5] and [b.n_cells for _, b in blocks] == [25, 25, 25, 25, 25, 15]
     assert sum(b.expr.count() for _, b in blocks) == m.expr.count()
     data, indices, starts = mx.to_arrays(m)
     dense = np.zeros_like(y)
-    for j in range(60):
+    for j in range(N):
         dense[indices[starts[j] : starts[j + 1]], j] = data[starts[j] : starts[j + 1]]
     assert (dense == y).all()
     with pytest.raises(ValueError, match="entries"):
