@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import materialised
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -95,3 +98,34 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", into: str = "padj", by: Sequ
 def fetch_scale(raw: Column, low: Column, high: Column) -> Column:
     """(raw - low) / (high - low) within [0, 1]; 1 where the range is empty."""
     return F.when(high <= low, 1.0).otherwise(clamp((raw - low) / (high - low), 0.0, 1.0))
+
+
+def quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float]:
+    """Linearly interpolated quantiles of a column, exact, nulls left out: equal values are
+    counted, the counts are dealt out by ranges of values and summed in each, and only the
+    rows around the wanted ranks come to the driver. 0 for no rows."""
+    counts = materialised(
+        df.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        .repartitionByRange("v").withColumn("part", F.spark_partition_id()),
+        "quantiles",
+    )
+    sums = {r["part"]: (r["c"], r["lo"]) for r in counts.groupBy("part").agg(F.sum("c").alias("c"), F.min("v").alias("lo")).collect()}
+    n = sum(c for c, _ in sums.values())
+    if not n:
+        return [0.0 for _ in at]
+    before, done = {}, 0
+    for part, (c, _) in sorted(sums.items(), key=lambda x: x[1][1]):
+        before[part] = done
+        done += c
+    places = [q * (n - 1) for q in at]
+    wanted = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    parts = sorted({part for part, b in before.items() if any(b <= k < b + sums[part][0] for k in wanted)})
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shift = F.element_at(F.create_map(*[F.lit(x) for p in parts for x in (p, before[p])]), F.col("part"))
+    rows = counts.filter(F.col("part").isin(parts)).withColumn("hi", upto + shift)
+    near = rows.filter(F.array_max(F.transform(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("hi") - F.col("c")) & (k < F.col("hi"))))).collect()
+
+    def value(k: int) -> float:
+        return next(r["v"] for r in near if r["hi"] - r["c"] <= k < r["hi"])
+
+    return [value(math.floor(p)) + (p - math.floor(p)) * (value(math.ceil(p)) - value(math.floor(p))) for p in places]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import anchor_kernel, fetch_scale
+from ..functions.columns import anchor_kernel, fetch_scale, quantiles
 from ..plans.store import materialised
 from .aggregate import label_votes
 from .neighbors import knn, mutual_neighbors
@@ -49,7 +49,8 @@ def anchors_from(ab: DataFrame, ba: DataFrame, aa: DataFrame, bb: DataFrame, k_a
 
 def scaled_scores(anchors: DataFrame) -> DataFrame:
     """raw clamped between its 1st and 90th percentile (linear) and scaled to [0, 1]."""
-    q = anchors.agg(F.percentile("raw", F.array(F.lit(0.01), F.lit(0.9)))).first()[0] or [0.0, 0.0]
+    anchors = materialised(anchors, "anchors")
+    q = quantiles(anchors, "raw", [0.01, 0.9])
     return anchors.select("cell1", "cell2", fetch_scale(F.col("raw").cast("double"), F.lit(float(q[0])), F.lit(float(q[1]))).alias("score"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp
+from ..functions.columns import clamp, quantiles
 from .demux import density
 from .matrix import Matrix, fetch_data
 
@@ -34,8 +34,8 @@ def ridge(m: Matrix, feature: str, by: str, points: int = 300) -> DataFrame:
 def feature_plot(m: Matrix, feature: str, layout: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(cell, x, y, value, shown): shown is clamped at the two percentiles."""
     rows = fetch_data(m, [feature], (), layout, {"x": 1, "y": 2}).withColumnRenamed(feature, "value")
-    q = rows.agg(F.percentile("value", F.array(F.lit(low), F.lit(high)))).first()[0] or [0.0, 0.0]
-    return rows.withColumn("shown", clamp(F.col("value"), float(q[0]), float(q[1])))
+    lowest, highest = quantiles(rows, "value", [low, high])
+    return rows.withColumn("shown", clamp(F.col("value"), lowest, highest))
 
 
 def dim_plot(cells: DataFrame, layout: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:

@@ -144,3 +144,13 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="checkpoint"):
         store.shared_folder(Session())
     assert dataclasses.is_dataclass(mx.Matrix)
+
+
+def test_quantiles(spark):
+    from sparsela.functions.columns import quantiles
+
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(0, 1, 501), rng.integers(0, 4, 300).astype(float), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        assert quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0]) == pytest.approx(list(np.quantile(x, [0, 0.05, 0.5, 0.95, 1])))
+    assert quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [0.0]
