@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import os
 import re
@@ -37,7 +38,11 @@ class ByteBpe:
     def __init__(self, path: str, literal: bool = False) -> None:
         self.path, self.literal, self._slow = path, literal, None
         with open(path, encoding="utf-8") as f:
-            self.specials = [x["content"] for x in json.load(f).get("added_tokens", [])]
+            content = json.load(f)
+        added = content.get("added_tokens", [])
+        self.specials = [x["content"] for x in added]
+        #: One more than the largest id.
+        self.size = 1 + max([x["id"] for x in added] + list(content["model"]["vocab"].values()))
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.fast = None
         if os.path.exists(ranks):
@@ -70,3 +75,9 @@ class ByteBpe:
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; null is the empty text."""
         return [self.one(t) for t in texts]
+
+
+@functools.lru_cache(maxsize=4)
+def byte_bpe(path: str, literal: bool = False) -> ByteBpe:
+    """One encoder for all tasks that a worker process runs."""
+    return ByteBpe(path, literal)

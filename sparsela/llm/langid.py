@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -37,13 +38,19 @@ class Settings:
     seed: int = 3
 
 
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+
+
 class Subwords:
     """Hashed n-grams of code points of the lower-cased text, in which every run of
     characters that are no letters is one space."""
 
     def __init__(self, settings: Settings) -> None:
         self.settings = settings
-        self.letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+        self.letter = letters()
 
     def points(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -107,7 +114,10 @@ def train(rows: list[tuple[str, str]], settings: Settings = Settings()) -> Model
     languages = sorted({lang for _, lang in known})
     number = {lang: k for k, lang in enumerate(languages)}
     order = rng.permutation(len(known))
-    apart = order[: len(order) // 10] if len(known) >= 50 else order[:0]
+    often = np.bincount([number[lang] for _, lang in known])
+    tenth = order[: len(order) // 10] if len(known) >= 50 else order[:0]
+    apart = np.array([i for i in tenth if often[number[known[i][1]]] >= 10], dtype=int)
+    order = np.concatenate((apart, np.setdiff1d(order, apart)))
 
     def windows(which: np.ndarray) -> list[tuple[np.ndarray, int]]:
         out = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, staged, values_of
-from .encoding import ByteBpe, default_vocabulary
+from .encoding import byte_bpe, default_vocabulary
 
 
 class Run:
@@ -108,12 +108,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return [r for g in gaps for r in runs[g]]
 
 
-def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool) -> Callable:
+def _pieces(vocabulary: str, capacity: int, end: int, stored: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = ByteBpe(vocabulary)
+        encoder = byte_bpe(vocabulary)
         seen: dict[int, int] = {}
         mark = np.array([end], dtype="<u4")
         for batch in batches:
@@ -126,7 +126,7 @@ def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool) -> Callabl
                     nth = seen.get(y - x, 0)
                     seen[y - x] = nth + 1
                     raw = flat[x:y].tobytes()
-                    rows.append((doc, piece, x, y - x, zlib.crc32(raw), part, nth, raw if with_ids else None))
+                    rows.append((doc, piece, x, y - x, zlib.crc32(raw), part, nth, flat[x:y].astype(stored).tobytes() if stored else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*"abcdefgh"])
@@ -134,7 +134,7 @@ def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool) -> Callabl
     return run
 
 
-def _placer(keys: np.ndarray, sequences: np.ndarray, offsets: np.ndarray) -> Callable:
+def _placer(keys: np.ndarray, sequences: np.ndarray, offsets: np.ndarray, stored: str | None) -> Callable:
     shift = 48
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +144,8 @@ def _placer(keys: np.ndarray, sequences: np.ndarray, offsets: np.ndarray) -> Cal
             at = np.searchsorted(keys, (length << shift) + rank, side="right") - 1
             sequence = sequences[at] + rank - (keys[at] & ((1 << shift) - 1))
             rest = [batch.column(j) for j in range(2, batch.num_columns)]
+            if stored:
+                rest[-1] = pa.array([np.frombuffer(x, dtype=stored).astype("<u4").tobytes() for x in values_of(rest[-1])], pa.binary())
             yield pa.RecordBatch.from_arrays([*rest, batch.column(0), pa.array(sequence), pa.array(offsets[at])], [str(j) for j in range(len(rest) + 3)])
 
     return run
@@ -177,8 +179,11 @@ def best_fit_pack(
     document, and the hot length (the capacity itself) needs no single task.
     """
     bound_batches(docs.sparkSession)
+    vocabulary = vocabulary or default_vocabulary()
+    # on their way the ids take two bytes, where the vocabulary allows it
+    stored = ("<u2" if max(end + 1, byte_bpe(vocabulary).size) <= 1 << 16 else "<u4") if with_ids else None
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        _pieces(vocabulary or default_vocabulary(), capacity, end, with_ids),
+        _pieces(vocabulary, capacity, end, stored),
         "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids binary",
     )
     pieces = staged(pieces if with_ids else pieces.drop("ids"), "pieces")
@@ -196,7 +201,7 @@ def best_fit_pack(
     # merged, whatever its size: the prefix sums grow with the tasks
     ranked = pieces.join(base.hint("merge"), ["part", "length"]).select("length", (F.col("base") + F.col("nth")).alias("rank"), *rest)
     placed = ranked.mapInArrow(
-        _placer(keys, sequences, offsets),
+        _placer(keys, sequences, offsets, stored),
         "doc_id long, piece int, start long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "length long, sequence_id long, offset long",
     )
     return placed.select(F.col("doc_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
 from .common import bound_batches, shared_path, staged, values_of
-from .encoding import ByteBpe, default_vocabulary
+from .encoding import byte_bpe, default_vocabulary
 
 END_OF_DOCUMENT = 50256
 
@@ -26,7 +26,7 @@ NAME = np.dtype([("known", "u1"), ("id", "<i8")])
 
 def _flat(vocabulary: str, end: int, file_tokens: int, named: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe(vocabulary, literal=True)
+        encoder = byte_bpe(vocabulary, True)
         held: list[np.ndarray] = []
         names: list[int | None] = []
         size = 0

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from brute import base_spans, quality
 
-from sparsela.llm.langid import Settings, Subwords, identify, train, train_and_identify
+from pyspark.sql import functions as F
+
+from sparsela.llm.langid import Settings, Subwords, identify, labelled_sample, train, train_and_identify
 from sparsela.llm.licenses import NAMES, RULES, SENTENCES, WORD, Recogniser, license_scan, normalised, sentences
 from sparsela.llm.pii import Deobfuscator, find_spans, personal_data, redact, redacted, written
 from sparsela.llm.quality import Bands, Calibration, Judge, calibrated, corpus_bands, fitted, quality_rules
@@ -310,7 +313,9 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, "the cat and the dog sat there again", "en") for i in range(300)] + [(1000 + i, "zq wxy qqz zzw xwq yzq", "zz") for i in range(3)]
     rows += [(2000, "long " * 9000, "ll")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in train_and_identify(docs).collect()}
-    learned = {r["lang_pred"] for r in got.values()}
-    held = {i for i, r in got.items() if r["held_out"]}
-    assert "en" in learned and ("zz" in learned or {1000, 1001, 1002} <= held) and ("ll" in learned or 2000 in held)
+    sample = labelled_sample(docs, Settings(), "text", "lang", F.col("doc_id"))
+    assert Counter(lang for _, lang in sample) == {"en": 300, "zz": 3, "ll": 1} and max(len(t) for t, _ in sample) == 20_000
+    assert train(sample, Settings(epochs=1)).languages == ["en", "ll", "zz"]
+    assert len(labelled_sample(docs, Settings(sample_rows=30), "text", "lang", F.col("doc_id"))) == 14
+    with pytest.raises(ValueError, match="languages"):
+        labelled_sample(docs, Settings(max_languages=2), "text", "lang", F.col("doc_id"))
