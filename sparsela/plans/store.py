@@ -29,6 +29,20 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """(column, ord): the distinct values with their places from 0 in ascending order. Values
+    are dealt out by ranges, and a range starts behind the counts of those before it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = names.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    rows = materialised(rows.select(column, F.monotonically_increasing_id().alias("_id")), "numbered")
+    rows = rows.select(column, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return rows.join(shift, "_part").select(column, (F.col("_at") + F.col("_shift")).alias("ord"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.matrix import Matrix, dense_to_triplets, from_triplets, make_unique
-from ..plans.store import _exists
+from ..plans.store import _exists, numbered
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +75,7 @@ def _cells_by_features(spark: SparkSession, wide: DataFrame, cell, drop: Sequenc
     names = [c for c in wide.columns if c not in drop and not (blank and c.lower().startswith(blank))]
     rows = wide.select(cell.cast("string").alias("cell"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
     long = dense_to_triplets(rows, "cell", names)
-    cells = rows.select("cell").distinct().select("cell", (F.row_number().over(Window.orderBy("cell")) - 1).alias("ord"))
-    return from_triplets(long, spark.createDataFrame(list(enumerate(names)), "ord long, feature string"), cells)
+    return from_triplets(long, spark.createDataFrame(list(enumerate(names)), "ord long, feature string"), numbered(rows, "cell"))
 
 
 def _on_cells(m: Matrix, coordinates: DataFrame) -> DataFrame:

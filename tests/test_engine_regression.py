@@ -154,3 +154,11 @@ def test_quantiles(spark):
         df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
         assert quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0]) == pytest.approx(list(np.quantile(x, [0, 0.05, 0.5, 0.95, 1])))
     assert quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [0.0]
+
+
+def test_numbered_rows_are_in_order(spark):
+    from sparsela.plans.store import numbered
+
+    names = [f"n{(k * 7919) % 1000:04d}" for k in range(1000)]
+    rows = numbered(spark.createDataFrame([(n,) for n in names + names[:50]], "cell string").repartition(7), "cell").collect()
+    assert {r["cell"]: r["ord"] for r in rows} == {n: k for k, n in enumerate(sorted(names))}
