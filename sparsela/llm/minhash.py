@@ -243,9 +243,11 @@ def _unlinked(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members outside the largest component (main) of their bucket."""
     at = _rooted(members, roots)
     counts = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = (
+    # written first, so that the join below is one that Spark can split at a hot bucket
+    main = staged(
         counts.groupBy("bucket").agg(F.max(F.struct("c", F.bitwise_not("root").alias("r"))).alias("top"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1").select("bucket", F.bitwise_not("top.r").alias("main"))
+        .filter("k > 1").select("bucket", F.bitwise_not("top.r").alias("main")),
+        "minhash-mains",
     )
     return at.join(main, "bucket")
 
@@ -335,7 +337,7 @@ def near_duplicates(
        quadratic for a crowd of look-alikes below the limit.
 
     With 150 minima in 30 bands, a pair at exactly the limit shares no bucket in
-    one case of 150,000, at five points above it in one of 10 million.
+    one case of 150,000, at five points above it in one of 40 million.
 
     Null or empty text and text of white space alone has the empty set, and is
     linked with nothing. A very long text is read whole. A row with a null id is its
