@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, bound_batches, map_rows, mix64, table_if_there, values_of, white_space, words_of
+from .common import SpanHasher, bound_batches, map_rows, mix64, staged, table_if_there, values_of, white_space, words_of
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -45,19 +45,20 @@ class Bands:
 
 @dataclass(frozen=True)
 class Calibration:
-    """sample_rows: the labelled good rows that are measured, at most, drawn by a hash
-    of their ids, each by its size, ratio and at most sample_chunks evenly spread
-    chunks. reject: the share of these that may lie beyond each limit; margin: what
-    the limits lie further out. Steps of half an octave in length; one with fewer than
-    least_rows of the sample keeps the given limits."""
-
-    sample_rows: int = 20_000
-    sample_chunks: int = 64
+    """All labelled good rows are measured, each by its size, ratio and all its chunks.
+    reject: the share of these that may lie beyond each limit; margin: what the limits lie
+    further out. Steps of half an octave in length; one with fewer than least_rows rows keeps
+    the given limits."""
+
     reject: float = 0.002
     margin: float = 0.004
     least_rows: int = 40
 
 
+#: Ratios are counted to so many places, those of the limits, so that what is counted is bounded.
+PLACES = 6
+
+
 class Features:
     """Counts of one whole text, all on its bytes."""
 
@@ -128,60 +129,117 @@ class Judge:
         return (*counts, ratio, chunks, bad, failed, not failed and within and bad <= self.bands.bad_share * chunks)
 
 
-def fitted(rows: list[tuple[int, float, list[float]]], bands: Bands, how: Calibration) -> Bands:
-    """Limits from (bytes, ratio, chunk ratios) of good texts."""
+def edges_of(bands: Bands) -> list[int]:
+    """Where the steps in length begin."""
+    return sorted({x[0] for x in bands.document} | {round(2 ** (k / 2)) for k in range(12, 2 * 40)})
 
-    def between(values: np.ndarray) -> tuple[float, float]:
-        low, high = np.quantile(values, [how.reject, 1 - how.reject])
-        return round(float(low) - how.margin, 6), round(float(high) + how.margin, 6)
 
-    sizes = np.array([r[0] for r in rows], dtype=np.float64)
-    ratios = np.array([r[1] for r in rows], dtype=np.float64)
-    chunks = np.array([c for r in rows for c in r[2]], dtype=np.float64)
-    edges = sorted({x[0] for x in bands.document} | {round(2 ** (k / 2)) for k in range(12, 2 * 40)})
+def quantile_of(ordered: Iterator[tuple[float, int]], n: int, share: float) -> float:
+    """The linearly interpolated quantile of n values given by (value, count) in order."""
+    place = share * (n - 1)
+    low = int(place)
+    seen, first = 0, None
+    for value, count in ordered:
+        seen += count
+        if first is None and seen > low:
+            first = value
+        if seen > min(low + 1, n - 1):
+            return first + (place - low) * (value - first)
+    raise ValueError("fewer values than said")
+
+
+def fitted_on_counts(documents: dict[int, tuple[int, float, float]], chunks: tuple[int, float, float] | None, bands: Bands, how: Calibration) -> Bands:
+    """Limits from (rows, low quantile, high quantile) by step in length, and of the chunks."""
+
+    def between(found: tuple[int, float, float]) -> tuple[float, float]:
+        return round(found[1] - how.margin, PLACES), round(found[2] + how.margin, PLACES)
+
     table = []
-    for low, high in zip(edges, [*edges[1:], float("inf")], strict=True):
-        own = ratios[(sizes >= low) & (sizes < high)]
-        limits = between(own) if len(own) >= how.least_rows else bands.limits(low)
+    for low in edges_of(bands):
+        own = documents.get(low)
+        limits = between(own) if own and own[0] >= how.least_rows else bands.limits(low)
         if not table or table[-1][1:] != limits:
             table.append((low, *limits))
-    return replace(bands, document=tuple(table), chunk_limits=between(chunks) if len(chunks) >= how.least_rows else bands.chunk_limits)
+    return replace(bands, document=tuple(table), chunk_limits=between(chunks) if chunks and chunks[0] >= how.least_rows else bands.chunk_limits)
+
+
+def fitted(rows: list[tuple[int, float, list[float]]], bands: Bands, how: Calibration) -> Bands:
+    """Limits from (bytes, ratio, chunk ratios) of good texts."""
+    edges = np.array(edges_of(bands))
+    by_step: dict[int, list[float]] = {}
+    for size, ratio, _ in rows:
+        if size >= edges[0]:
+            by_step.setdefault(int(edges[np.searchsorted(edges, size, side="right") - 1]), []).append(ratio)
+
+    def summary(values: list[float]) -> tuple[int, float, float]:
+        return len(values), *(float(np.quantile(values, q)) for q in (how.reject, 1 - how.reject))
+
+    pieces = [c for r in rows for c in r[2]]
+    return fitted_on_counts({k: summary(v) for k, v in by_step.items()}, summary(pieces) if pieces else None, bands, how)
 
 
 def calibrated(
     docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands(), how: Calibration = Calibration(), min_words: int = 50, max_repeat: int = 50
 ) -> Bands:
     """Bands whose limits hold for good texts: ``good_ids`` names rows of docs that are
-    known to be good (column id_col). A bounded sample of these is measured where the
-    texts lie; its ids are broadcast (at most sample_rows of them) and three numbers a row
-    come to the driver. Rows that fail the base rules don't count. Without such rows the
-    given bands come back."""
+    known to be good (column id_col). All of these are measured whole, where the texts
+    lie: tasks count ratios by step in length (chunks are one more step), to the places that
+    the limits have, and the counts around the wanted quantiles alone come to the driver. Rows
+    that fail the base rules don't count. Without such rows the given bands come back."""
     key = F.col(id_col).cast("long")
     ids = good_ids.select(key.alias("_id")).filter("_id is not null").distinct()
-    n = ids.count()
-    if n == 0:
-        return bands
-    order = F.xxhash64("_id", F.lit(5))
-    share = min(1.0, 1.1 * how.sample_rows / n)
-    some = ids.filter(F.pmod(order, F.lit(1 << 40)) < share * (1 << 40)).orderBy(order).limit(how.sample_rows)
+    edges = np.array(edges_of(bands))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands, min_words, max_repeat)
         for batch in batches:
             rows = []
-            for text in values_of(batch.column(0)):
+            for doc, text in zip(batch.column(0).to_pylist(), values_of(batch.column(1)), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                if raw and not judge.base(raw)[1]:
-                    chunks = len(raw) // bands.chunk
-                    which = np.unique(np.linspace(0, chunks - 1, min(chunks, how.sample_chunks)).astype(int)) if chunks else []
-                    rows.append((len(raw), judge.ratio(raw), [judge.chunk_ratio(raw, int(k)) for k in which]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], [*"abc"]
-            )
+                if doc is not None and raw and not judge.base(raw)[1]:
+                    pieces = [round(judge.chunk_ratio(raw, k) * bands.chunk) for k in range(len(raw) // bands.chunk)]
+                    rows.append((doc, len(raw), judge.ratio(raw), pieces))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32())], strict=True)], ["_id", "size", "ratio", "pieces"])
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, float], int] = {}
+            for size, ratio, pieces in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                steps = [(-1, x / bands.chunk) for x in pieces]
+                if size >= edges[0]:
+                    steps.append((int(edges[np.searchsorted(edges, size, side="right") - 1]), ratio))
+                for step, value in steps:
+                    found[step, round(value, PLACES)] = found.get((step, round(value, PLACES)), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.float64()), pa.array(list(found.values()), pa.int64())], [*"abc"])
+
+    # measures meet the ids, so that no text is shuffled and no table of ids broadcast
     bound_batches(docs.sparkSession)
-    texts = docs.select(key.alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(some), "_id", "left_semi").select("_text")
-    return fitted([tuple(r) for r in texts.mapInArrow(run, "a long, b double, c array<double>").collect()], bands, how)
+    measures = docs.select(key, F.col(text_col).cast("string")).mapInArrow(measured, "_id long, size long, ratio double, pieces array<int>")
+    own = measures.join(ids, "_id", "left_semi").select("size", "ratio", "pieces")
+    counted = staged(own.mapInArrow(counts, "step long, ratio double, n long").groupBy("step", "ratio").agg(F.sum("n").alias("n")), "calibration")
+    totals = {r["step"]: r["n"] for r in counted.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return bands
+    # of each step the values by thousandths first, then those of the thousandths that hold a wanted rank
+    coarse = counted.groupBy("step", F.floor(F.col("ratio") * 1000).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    wanted, before = [], {}
+    for step, n in totals.items():
+        ranks = {k for q in (how.reject, 1 - how.reject) for k in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
+        seen = 0
+        for r in sorted((r for r in coarse if r["step"] == step), key=lambda r: r["bin"]):
+            if any(seen <= k < seen + r["n"] for k in ranks):
+                wanted.append((step, r["bin"]))
+            else:
+                before.setdefault(step, []).append((r["bin"] / 1000, r["n"]))
+            seen += r["n"]
+    bins = docs.sparkSession.createDataFrame(wanted, "step long, bin long")
+    near = counted.withColumn("bin", F.floor(F.col("ratio") * 1000)).join(F.broadcast(bins), ["step", "bin"], "left_semi").collect()
+    summaries = {}
+    for step, n in totals.items():
+        ordered = sorted(before.get(step, []) + [(r["ratio"], r["n"]) for r in near if r["step"] == step])
+        summaries[step] = n, *(quantile_of(iter(ordered), n, q) for q in (how.reject, 1 - how.reject))
+    return fitted_on_counts({k: v for k, v in summaries.items() if k >= 0}, summaries.get(-1), bands, how)
 
 
 def _measure(bands: Bands, min_words: int, max_repeat: int) -> Callable:
