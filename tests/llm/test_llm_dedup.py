@@ -73,6 +73,34 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [3, 40, 1 << 20])
+def test_components_in_one_task_or_in_rounds(spark, few):
+    """Beyond ``few`` edges rounds take over, and a task gives its stars back in parts."""
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-50, 250, (170, 2))] + [(5000 - k, 5001 - k) for k in range(60)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if None not in (a, b) and a != b:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r["node"]: r["root"] for r in connected_components(frame, few=few).collect()} == {x: top(x) for x in parent}
+
+
+def test_components_take_few_steps(spark):
+    """The driver keeps what it knows of every stage, so a small graph takes three jobs."""
+    frame = spark.createDataFrame([(k, k + 1) for k in range(500)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "components")
+    connected_components(frame)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 4
+
+
 def test_near_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = components([tuple(r) for r in docs], 2)
