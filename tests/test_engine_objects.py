@@ -3,6 +3,7 @@
 import gzip
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,36 @@ def test_sctransform_glmpca_layouts(planted, reduced, spread):
         assert purity(((y[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1), group) > 0.9
 
 
+def test_spca_is_that_of_the_symmetrised_graph(spark):
+    """Loops, repeated edges, both directions and cells without entries, against dense sums;
+    an edge comes to one task once."""
+    rng = np.random.default_rng(6)
+    x = rng.poisson(0.8, (40, 6)).astype(float)
+    x[3] = 0
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 40, (2, 150)), rng.random(150), strict=True)] + [(5, 5, 2.0), (1, 2, 1.0), (2, 1, 1.0)]
+    expr = [(f"f{i}", f"c{c}", x[c, i]) for c in range(40) for i in range(6) if x[c, i]]
+    m = mx.Matrix(spark.createDataFrame([(f, c, float(v)) for f, c, v in expr], "feature string, cell string, value double"), spark.createDataFrame([(f"f{i}", i) for i in range(6)], "feature string, ord long"), spark.createDataFrame([(f"c{c}", c) for c in range(40)], "cell string, ord long"))
+    out = la.run_spca(m, spark.createDataFrame([(f"c{a}", f"c{b}", w) for a, b, w in edges], "src string, dst string, weight double"), [f"f{i}" for i in range(6)], 3)
+    g = np.zeros((40, 40))
+    for a, b, w in edges:
+        g[a, b] += w / 2
+        g[b, a] += w / 2
+    values, vectors = np.linalg.eigh(x.T @ g @ x)
+    assert out["values"] == pytest.approx(values[::-1][:3])
+    got = np.array([r["vec"] for r in out["cells"].orderBy("ord").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(x @ vectors[:, ::-1][:, :3]))
+
+
+def test_entries_come_to_dense_blocks_whole():
+    """Null and empty lists and sliced batches, in blocks of several rows."""
+    at = pa.array([[9], [0, 2], None, [], [1]], pa.list_(pa.int32())).slice(1)
+    value = pa.array([[9.0], [3.0, 4.0], None, [], [5.0]], pa.list_(pa.float64())).slice(1)
+    parts = list(la.dense_rows(at, value, 3))
+    assert np.concatenate([x for _, x in parts]).tolist() == [[3, 0, 4], [0, 0, 0], [0, 0, 0], [0, 5, 0]]
+    wide = 1 << 18
+    assert [lo for lo, _ in la.dense_rows(at, value, wide)] == [0, 2]
+
+
 def _dense_glm_pca(y, size, n, family, theta, rounds, penalty=1.0, seed=0):
     """The same steps on one dense matrix, cells by name."""
     p, cells = y.shape
