@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bare_symbol, cell_cycle_phase
+from ..plans.store import bound_batches, materialised
 from .matrix import Matrix
 
 
@@ -71,13 +75,27 @@ def perturbation_signature(m: Matrix, embedding: DataFrame, controls: DataFrame,
     """(feature, cell, value): each value less the mean of the cell's k nearest control
     cells in an embedding (cell, ord, vec); dense over the chosen features. With no
     control cell every value stays as it is."""
+    from .linalg import cell_rows, dense_rows, weighted_rows
     from .neighbors import knn
 
-    reference = embedding.join(controls.select("cell"), "cell", "left_semi")
-    near = knn(reference, k, query=embedding).select("cell", "nbr")
-    size = near.groupBy("cell").agg(F.count(F.lit(1)).alias("_k"))
-    chosen = m.expr.filter(F.col("feature").isin(list(features)))
-    means = near.join(chosen.withColumnRenamed("cell", "nbr"), "nbr").groupBy("cell", "feature").agg(F.sum("value").alias("_s"))
-    grid = m.cells.select("cell").join(F.broadcast(m.features.filter(F.col("feature").isin(list(features))).select("feature")))
-    full = grid.join(chosen, ["cell", "feature"], "left").join(means, ["cell", "feature"], "left").join(size, "cell", "left").fillna(0.0, ["value", "_s"]).fillna(1, ["_k"])
-    return full.select("feature", "cell", (F.col("value") - F.col("_s") / F.col("_k")).alias("value"))
+    names = [r[0] for r in m.features.filter(F.col("feature").isin(list(features))).select("feature").distinct().orderBy("feature").collect()]
+    if not names:
+        return m.expr.limit(0).select("feature", "cell", F.col("value").cast("double").alias("value"))
+    p = len(names)
+    rows = materialised(cell_rows(m, names), "rows")
+    near = knn(embedding.join(controls.select("cell"), "cell", "left_semi"), k, query=embedding).select("cell", F.col("nbr").alias("other"), F.lit(1.0).alias("weight"))
+    around = weighted_rows(near, rows, "left")
+    full = m.cells.select("cell").join(rows, "cell", "left").join(around.withColumnsRenamed({"at": "_at", "value": "_v", "n": "_n"}), "cell", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.fill_null(b.column("_n"), 1).to_numpy(zero_copy_only=False).astype(float)
+            pair = zip(dense_rows(b.column("at"), b.column("value"), p), dense_rows(b.column("_at"), b.column("_v"), p), strict=True)
+            for (lo, own), (_, mean) in pair:
+                out = own - mean / size[lo : lo + len(own), None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, p, dtype=np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("cell").slice(lo, len(own)), lists], ["cell", "v"])
+
+    bound_batches(m.expr.sparkSession)
+    wide = full.mapInArrow(run, "cell string, v array<double>").select("cell", F.posexplode("v").alias("_i", "value"))
+    return wide.select(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_i") + 1).alias("feature"), "cell", "value")
