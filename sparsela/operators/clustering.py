@@ -60,17 +60,20 @@ class Louvain:
         weight_of = np.bincount(label, weights=degree, minlength=n)
         if total == 0:
             return label
+        # lists of the nodes' numbers are read faster one by one; the edges stay arrays
+        label, weight_of, degree, at, total = label.tolist(), weight_of.tolist(), degree.tolist(), at.tolist(), float(total)
         changed = True
         while changed:
             changed = False
-            for i in self.rng.permutation(n):
+            for i in self.rng.permutation(n).tolist():
                 near = slice(at[i], at[i + 1])
                 if near.start == near.stop:
                     continue
                 sums: dict[int, float] = {}
-                for c, v in zip(label[b[near]].tolist(), x[near].tolist(), strict=True):
+                for j, v in zip(b[near].tolist(), x[near].tolist(), strict=True):
+                    c = label[j]
                     sums[c] = sums.get(c, 0.0) + v
-                own = int(label[i])
+                own = label[i]
                 weight_of[own] -= degree[i]
                 scale = self.resolution * degree[i] / total
                 best, gain = own, sums.get(own, 0.0) - scale * weight_of[own]
@@ -82,7 +85,7 @@ class Louvain:
                 if best != own:
                     label[i] = best
                     changed = True
-        return label
+        return np.array(label, dtype=np.int64)
 
 
 class Leiden(Louvain):
@@ -207,7 +210,11 @@ def group_singletons(clusters: DataFrame, edges: DataFrame) -> DataFrame:
 
 def find_clusters(edges: DataFrame, cells: DataFrame, resolutions: list[float], seed: int = 0, singletons: bool = True, algorithm: int = 1) -> DataFrame:
     """(cell, res_<r> ..., clusters): labels per resolution, renumbered by size and
-    then with singletons absorbed; clusters is the last."""
+    then with singletons absorbed; clusters is the last. The graph is written once, as every
+    resolution reads it several times."""
+    from ..plans.store import materialised
+
+    edges = materialised(edges.select("src", "dst", "weight"), "graph")
     out = cells.select("cell")
     for r in resolutions:
         labels = renumber_by_size(communities(edges, cells, r, seed, algorithm), cells)
